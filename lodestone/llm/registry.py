@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_output
+from . import exact_dedup, simhash, token_output
 
-MODULES = (token_output,)
+MODULES = (token_output, exact_dedup, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
