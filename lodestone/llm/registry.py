@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, simhash, token_output
+from . import decontamination, exact_dedup, mixing, simhash, token_output
 
-MODULES = (token_output, exact_dedup, simhash)
+MODULES = (token_output, exact_dedup, simhash, decontamination, mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
