@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, language_id, mixing, pii, simhash, token_output
+from . import decontamination, exact_dedup, language_id, mixing, pii, simhash, token_output, toxicity
 
-MODULES = (token_output, exact_dedup, simhash, decontamination, mixing, pii, language_id)
+MODULES = (token_output, exact_dedup, simhash, decontamination, mixing, pii, language_id, toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
