@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, language_id, mixing, pii, simhash, token_output, toxicity, url_filter
+from . import decontamination, exact_dedup, language_id, lm_scoring, mixing, pii, simhash, token_output, toxicity, url_filter
 
-MODULES = (token_output, exact_dedup, simhash, decontamination, mixing, pii, language_id, toxicity, url_filter)
+MODULES = (token_output, exact_dedup, simhash, decontamination, mixing, pii, language_id, toxicity, url_filter, lm_scoring)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
