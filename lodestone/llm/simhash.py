@@ -33,43 +33,59 @@ from .components import connected_components
 SEED = 42
 RADIUS = 3
 WIDTH = 3
+#: Words of a shingle, and fingerprints, where rows are dropped.
+STAGE_WIDTH, STAGE_FINGERPRINTS = 5, 8
 #: Members of a shard beyond which it is dealt again, and of a tree.
 SHARD = 2048
 #: Rows that are searched together, and queries that walk the trees together.
 BLOCK, QUERIES = 1 << 16, 1 << 12
 
 
-def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
-    """The unsigned fingerprint of a text's lower-cased (A-Z) word shingles, repeats included; 0 without words."""
+def fingerprints(text: bytes | None, width: int = WIDTH, count: int = 1) -> list[int]:
+    """Unsigned fingerprints of a text's lower-cased (A-Z) word shingles, repeats included; 0 without words.
+
+    The first is made of the shingles' hashes; each further one of the hashes mixed anew, so it errs on its own.
+    """
     import xxhash
 
     words = (text or b"").lower().split()  # bytes: ASCII letters and white space only
     if not words:
-        return 0
+        return [0] * count
     if len(words) <= width:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*[words[i:] for i in range(width)]))
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(s, SEED) for s in shingles], dtype="<u8")
-    counts = np.zeros(64, "i8")
-    for i in range(0, len(hashes), 1 << 14):
-        bits = np.unpackbits(hashes[i : i + (1 << 14)].view("u1").reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype="i4")
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    out = []
+    for k in range(count):
+        if k:
+            with np.errstate(over="ignore"):
+                hashes = (hashes ^ hashes >> np.uint64(31)) * np.uint64(0x7FB5D329728EA185)
+                hashes ^= hashes >> np.uint64(27)
+        ones = np.zeros(64, "i8")
+        for i in range(0, len(hashes), 1 << 14):
+            bits = np.unpackbits(hashes[i : i + (1 << 14)].view("u1").reshape(-1, 8), axis=1, bitorder="little")
+            ones += bits.sum(axis=0, dtype="i4")
+        out.append(int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0]))
+    return out
+
+
+def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
+    return fingerprints(text, width)[0]
 
 
-def with_fingerprint(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keep..., fp): the signed 64-bit fingerprint of each row's text. A null text has no words."""
+def with_fingerprints(docs: DataFrame, width: int = WIDTH, count: int = 1, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keep..., fps): the signed 64-bit fingerprints of each row's text. A null text has no words."""
     rows = docs.select(*keep, F.col("text").cast("binary").alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t, width) for t in b.column(b.num_columns - 1).to_pylist()], dtype="u8").view("i8")
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp, pa.int64())], [*b.schema.names[:-1], "fp"])
+            fps = np.array([fingerprints(t, width, count) for t in b.column(b.num_columns - 1).to_pylist()], dtype="u8").reshape(-1, count).view("i8")
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(list(fps), pa.list_(pa.int64()))], [*b.schema.names[:-1], "fps"])
 
-    return rows.mapInArrow(run, fields + ", fp long")
+    return rows.mapInArrow(run, fields + ", fps array<long>")
 
 
 # --- BK-trees ------------------------------------------------------------------------------------
@@ -146,8 +162,8 @@ class Union:
                 root[:] = up
 
 
-def spanning_edges(shard: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links in each shard, as two arrays of fingerprints.
+def spanning_edges(shard: np.ndarray, side: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links in each shard, as two arrays of nodes.
 
     ``side`` 0: the member is in the shard's tree and asks it too; 1: it is in the
     tree; 2: it only asks. A shard has members of side 0 only, or of sides 1 and 2.
@@ -163,10 +179,10 @@ def spanning_edges(shard: np.ndarray, side: np.ndarray, fp: np.ndarray, radius:
     asks = np.flatnonzero((side != 1) & has_tree[number])
     for i in range(0, len(asks), QUERIES):
         part = asks[i : i + QUERIES]
-        for q, node in forest.search(fp[part], tree_of[number[part]], radius):
-            sets.add(part[q], index[node])
+        for q, met in forest.search(fp[part], tree_of[number[part]], radius):
+            sets.add(part[q], index[met])
     other = np.flatnonzero(sets.root != np.arange(len(fp)))
-    return fp[sets.root[other]], fp[other]
+    return node[sets.root[other]], node[other]
 
 
 # --- shards --------------------------------------------------------------------------------------
@@ -177,20 +193,21 @@ def _block(fp: str, i: str) -> F.Column:
 
 
 def shards_of(prints: DataFrame, shard: int = SHARD) -> DataFrame:
-    """(shard, side, fp): each fingerprint with the shards it belongs to. ``prints``: distinct ``fp``, a written table."""
-    first = prints.select("fp", F.explode(F.expr("array(0, 1, 2, 3)")).alias("i"))
-    first = first.select("fp", "i", _block("fp", "i").alias("v"))
-    large = materialize(first.groupBy("i", "v").count().where(F.col("count") > shard).select("i", "v", F.lit(True).alias("large")), "large-blocks")
-    first = first.join(F.broadcast(large), ["i", "v"], "left")  # 4 * 65,536 rows at most
-    small = first.where("large is null").select(F.xxhash64(F.lit(1), "i", "v").alias("shard"), F.lit(0).alias("side"), "fp")
+    """(shard, side, fp, node): each fingerprint with the shards it belongs to. ``prints``: k, fp, node, a written table with each (k, fp) once."""
+    first = prints.select("k", "fp", "node", F.explode(F.expr("array(0, 1, 2, 3)")).alias("i"))
+    first = first.withColumn("v", _block("fp", "i"))
+    large = materialize(first.groupBy("k", "i", "v").count().where(F.col("count") > shard).select("k", "i", "v", F.lit(True).alias("large")), "large-blocks")
+    first = first.join(F.broadcast(large), ["k", "i", "v"], "left")  # 4 * 65,536 rows at most for each k
+    small = first.where("large is null").select(F.xxhash64(F.lit(1), "k", "i", "v").alias("shard"), F.lit(0).alias("side"), "fp", "node")
     # the other 48 bits, as four blocks of 12
     rest = F.expr("(shiftrightunsigned(fp, cast(16 * i + 16 as int)) * if(i = 3, 0L, 1L)) << cast(16 * i as int) | fp & ((1L << cast(16 * i as int)) - 1)")
     again = first.where("large").withColumn("rest", rest).withColumn("j", F.explode(F.expr("array(0, 1, 2, 3)")))
-    again = materialize(again.select(F.xxhash64(F.lit(2), "i", "v", "j", F.expr("shiftrightunsigned(rest, cast(12 * j as int)) & 4095")).alias("shard"), "fp"), "second-blocks")
+    again = again.select(F.xxhash64(F.lit(2), "k", "i", "v", "j", F.expr("shiftrightunsigned(rest, cast(12 * j as int)) & 4095")).alias("shard"), "fp", "node")
+    again = materialize(again, "second-blocks")
     counts = again.groupBy("shard").count().where(F.col("count") > shard).select("shard", F.ceil(F.col("count") / shard).cast("int").alias("parts"))
     counts = materialize(counts, "large-shards")
     again = again.join(sized(counts, counts.count(), 12), "shard", "left")
-    second = again.where("parts is null").select("shard", F.lit(0).alias("side"), "fp")
+    second = again.where("parts is null").select("shard", F.lit(0).alias("side"), "fp", "node")
     # cut: part p's tree meets the later parts, one at a time; side 0 where p meets itself
     cut = again.where("parts is not null").withColumn("p", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int"))
     cut = cut.withColumn("o", F.explode(F.expr("sequence(0, parts - 1)")))
@@ -198,12 +215,16 @@ def shards_of(prints: DataFrame, shard: int = SHARD) -> DataFrame:
         F.xxhash64(F.lit(3), "shard", F.least("p", "o"), F.greatest("p", "o")).alias("shard"),
         F.when(F.col("p") == F.col("o"), 0).when(F.col("p") < F.col("o"), 1).otherwise(2).alias("side"),
         "fp",
+        "node",
     )
     return small.unionByName(second).unionByName(cut)
 
 
 def link_forest(prints: DataFrame, shard: int = SHARD, radius: int = RADIUS) -> DataFrame:
-    """(a, b): edges whose components are those of all links within ``radius`` (3 at most) among distinct ``fp``."""
+    """(a, b): edges between nodes, whose components are those of all links within ``radius`` (3 at most).
+
+    ``prints`` has (k, fp, node): the k-th fingerprint, and the node that stands for it.
+    """
     if radius > 3:
         raise ValueError("four blocks find links of 3 bits at most")
 
@@ -219,13 +240,13 @@ def link_forest(prints: DataFrame, shard: int = SHARD, radius: int = RADIUS) ->
             end = len(all_) if last else int(np.searchsorted(all_[:, 0], all_[-1, 0], "left"))
             if end:
                 part = all_[:end]
-                a, b = spanning_edges(part[:, 0], part[:, 1], part[:, 2].view("u8"), radius)
+                a, b = spanning_edges(part[:, 0], part[:, 1], part[:, 2].copy().view("u8"), part[:, 3], radius)
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view("i8")), pa.array(b.view("i8"))], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
             held, rows = [all_[end:]], len(all_) - end
 
         for b in batches:
-            held.append(np.stack([b.column(i).to_numpy(zero_copy_only=False).astype("i8") for i in range(3)], axis=1))
+            held.append(np.stack([b.column(i).to_numpy(zero_copy_only=False).astype("i8") for i in range(4)], axis=1))
             rows += b.num_rows
             if rows >= BLOCK:
                 yield from flush(False)
@@ -236,13 +257,6 @@ def link_forest(prints: DataFrame, shard: int = SHARD, radius: int = RADIUS) ->
     return dealt.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long").distinct()
 
 
-def fingerprint_classes(prints: DataFrame) -> DataFrame:
-    """(fp, label) for distinct ``fp``: label is one fingerprint of its component, the same for all of them."""
-    labels = connected_components(link_forest(prints))
-    labels = materialize(labels, "labels")
-    return prints.join(labels, prints["fp"] == labels["node"], "left").select(prints["fp"], F.coalesce("label", prints["fp"]).alias("label"))
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, fingerprint, component_id.
 
@@ -252,9 +266,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     choice of the smallest; a component of null ids has a null component_id.
     Repeated rows each give a row; an empty table gives none. Other columns are ignored.
     """
-    rows = materialize(with_fingerprint(docs.select("doc_id", "text")), "fingerprints")
+    rows = with_fingerprints(docs.select("doc_id", "text")).select("doc_id", F.col("fps")[0].alias("fp"))
+    rows = materialize(rows, "fingerprints")
     prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
-    classes = materialize(fingerprint_classes(prints.select("fp")), "classes")
+    labels = connected_components(link_forest(prints.select(F.lit(0).alias("k"), "fp", F.col("fp").alias("node"))))
+    classes = prints.join(labels, prints["fp"] == labels["node"], "left").select("fp", F.coalesce("label", "fp").alias("label"))
+    classes = materialize(classes, "classes")
     named = classes.join(prints, "fp")
     least = materialize(named.groupBy("label").agg(F.min("first").alias("component_id")), "least")
     members = materialize(classes.join(least, "label").select("fp", "component_id"), "members")
@@ -262,23 +279,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(members, "fp").select("doc_id", hex_, "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, width: int = STAGE_WIDTH, count: int = STAGE_FINGERPRINTS) -> DataFrame:
     """The rows of ``docs`` without all but one of each component of near-duplicates.
 
-    The row with the smallest doc_id stays (a null id counts as the largest; of
-    repeated ids, any one row). Rows whose text is null or has no words have no
-    content to compare and all stay.
+    Texts are linked if any of their ``count`` fingerprints are at most 3 bits apart. Two texts
+    with a similarity of 0.8 are only so with a chance of about one in seven by one fingerprint,
+    so there are several. The row with the smallest doc_id stays (a null id counts as the largest;
+    of repeated ids, any one row). Rows whose text is null or has no words have no
+    content to compare and all stay. An empty table gives no rows; all columns stay.
     """
     rows = materialize(with_row_id(docs, "__row"), "rows")
     has_words = F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    prints = materialize(with_fingerprint(rows.where(has_words), keep=("doc_id", "__row")), "fingerprints")
+    prints = with_fingerprints(rows.where(has_words), width, count, keep=("doc_id", "__row"))
+    prints = materialize(prints.withColumn("print", F.xxhash64("fps")), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")
-    distinct = materialize(prints.groupBy("fp").agg(F.min(order).alias("first")), "prints")
-    classes = fingerprint_classes(distinct.select("fp")).join(distinct, "fp")
+    distinct = materialize(prints.groupBy("print", "fps").agg(F.min(order).alias("first")).withColumn("node", F.col("first.__row")), "prints")
+    each = distinct.select("node", F.posexplode("fps").alias("k", "fp"))
+    # the node that stands for a fingerprint, and an edge to it from each other node that has it
+    stands = materialize(each.groupBy("k", "fp").agg(F.min("node").alias("node")), "stands")
+    same = each.join(stands.withColumnRenamed("node", "stand"), ["k", "fp"]).where("node != stand").select(F.col("stand").alias("a"), F.col("node").alias("b"))
+    labels = connected_components(link_forest(stands).unionByName(same))
+    classes = distinct.join(labels, "node", "left").select("print", "fps", "first", F.coalesce("label", "node").alias("label"))
     classes = materialize(classes, "classes")
-    first = materialize(classes.groupBy("label").agg(F.min("first").alias("keep")), "keep")
-    keep = materialize(classes.join(first, "label").select("fp", F.col("keep.__row").alias("keep")), "keepers")
-    gone = materialize(prints.join(keep, "fp").where("__row != keep").select("__row"), "gone")
+    best = materialize(classes.groupBy("label").agg(F.min("first").alias("keep")), "keep")
+    keep = materialize(classes.join(best, "label").select("print", "fps", F.col("keep.__row").alias("keep")), "keepers")
+    gone = materialize(prints.join(keep, ["print", "fps"]).where("__row != keep").select("__row"), "gone")
     return rows.join(sized(gone, gone.count(), 16), "__row", "left_anti").select(*docs.columns)
 
 
