@@ -1,0 +1,10 @@
+"""The queries, by family; importing a module registers them."""
+
+from importlib import import_module
+
+FAMILIES = ("graph", "analytics")
+
+
+def load() -> None:
+    for family in FAMILIES:
+        import_module(f"{__name__}.{family}")
