@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("graph", "analytics")
+FAMILIES = ("graph", "analytics", "risk")
 
 
 def load() -> None:
