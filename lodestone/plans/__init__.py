@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("graph", "analytics", "risk")
+FAMILIES = ("graph", "analytics", "risk", "journal", "text")
 
 
 def load() -> None:
