@@ -24,8 +24,12 @@ def chunks(files: DataFrame, key: str = "path", size: int = 30, stride: int = 20
 
 def grep(files: DataFrame, pattern: str, key: str = "path", context: int = 1) -> DataFrame:
     """Each line that matches, with the lines around it; the matching line has ``>`` in front, numbers are five wide."""
-    ls = F.split("text", "\n")
-    found = files.select(key, ls.alias("ls")).withColumn("i", F.explode(F.filter(F.sequence(F.lit(1), F.size("ls")), lambda i: F.rlike(F.element_at("ls", i), F.lit(pattern)))))
+    def places(ls: Column) -> Column:
+        return F.struct(ls.alias("ls"), F.filter(F.sequence(F.lit(1), F.size(ls)), lambda i: F.rlike(F.element_at(ls, i), F.lit(pattern))).alias("at"))
+
+    # the lines are bound as a lambda's variable, so that they are split once for each file
+    bound = files.where(F.col("text").isNotNull()).select(key, F.transform(F.array(F.split("text", "\n")), places)[0].alias("b"))
+    found = bound.select(key, F.col("b.ls").alias("ls"), F.explode("b.at").alias("i"))
     lo, hi = F.greatest(F.col("i") - context, F.lit(1)), F.least(F.col("i") + context, F.size("ls"))
     mark = F.transform(F.sequence(lo, hi), lambda k: F.concat(F.when(k == F.col("i"), "> ").otherwise("  "), F.lpad(k.cast("string"), 5, " "), F.lit(" "), F.element_at("ls", k)))
     return found.select(key, F.col("i").alias("line_no"), F.array_join(mark, "\n").alias("snippet"))

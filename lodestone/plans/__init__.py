@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("graph", "analytics", "risk", "journal", "text")
+FAMILIES = ("graph", "analytics", "risk", "journal", "text", "search", "resolve")
 
 
 def load() -> None:
