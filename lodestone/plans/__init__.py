@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("graph", "analytics", "risk", "journal", "text", "search", "resolve")
+FAMILIES = ("graph", "analytics", "risk", "journal", "text", "search", "resolve", "streaming")
 
 
 def load() -> None:
