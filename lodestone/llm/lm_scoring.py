@@ -11,7 +11,7 @@ slots, so a model's size is fixed, while what tasks send grows with the corpus:
 task sends, for each of ``RANGES`` ranges of slots, the slots it has met with
 both counts. A range's blobs are added up one after the other in an array of the range's size.
 The merged counts of both models make a table of 34 MB, whatever the corpus's size,
-which each worker reads from the shared folder.
+which tasks write to the shared folder and each worker reads from there; none of it passes the driver.
 """
 
 from __future__ import annotations
@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, shared_dir, sized, table
-from .token_output import _get, _put, default_tokenizer, encoder
+from .token_output import _fs, default_tokenizer, encoder
 
 #: Slots of the bigram tables, the ranges they are dealt in, and ids of the vocabulary (rounded up).
 SLOTS, RANGES, IDS = 1 << 22, 256, 1 << 16
 #: Weight of the bigram estimate, and of the uniform distribution.
 BIGRAM, UNIFORM = 0.7, 0.01
-_tables: dict[str, np.ndarray] = {}
+_tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def slots(ids: np.ndarray) -> np.ndarray:
@@ -86,9 +86,9 @@ def count_ngrams(rows: DataFrame, tokenizer: str) -> DataFrame:
                 ids = np.frombuffer(encode(text or ""), "<u4")
                 for kind, keys in (("uni", ids.astype("i8")), ("bi", slots(ids))):
                     held[kind][0].append(keys)
-                    held[kind][1].append(np.full(len(keys), int(is_target), "i8"))
+                    held[kind][1].append(np.full(len(keys), int(is_target), "i4"))
                 size += len(ids)
-                if size > 8_000_000:  # a bound of what a task holds, not of what it counts
+                if size > 4_000_000:  # a bound of what a task holds, not of what it counts
                     yield from flush()
                     size = 0
         yield from flush()
@@ -97,7 +97,7 @@ def count_ngrams(rows: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def merge_counts(blobs: DataFrame) -> DataFrame:
-    """One row for each part, with dense sums: (part, target, background), each as little-endian 64-bit integers."""
+    """One row for each part, with dense sums: (part, target, background), each as little-endian 32-bit floats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -112,14 +112,14 @@ def merge_counts(blobs: DataFrame) -> DataFrame:
                 total[0, at] += t
                 total[1, at] += b
         for part, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total[0].tobytes()], pa.binary()), pa.array([total[1].tobytes()], pa.binary())], ["part", "target", "background"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x.astype("<f4").tobytes()], pa.binary()) for x in total)], ["part", "target", "background"])
 
     n = int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return blobs.repartition(min(n, RANGES), "part").mapInArrow(run, "part int, target binary, background binary")
 
 
 def fit(docs: DataFrame, targets: DataFrame, tokenizer: str | None = None) -> str:
-    """Counts both models on all of ``docs`` (doc_id, text) and writes their table to the shared folder; returns its place.
+    """Counts both models on all of ``docs`` (doc_id, text) into a table in the shared folder; returns its place.
 
     ``targets`` (doc_id) names the documents of the target model. Null texts count as empty; null ids are no targets.
     """
@@ -127,28 +127,29 @@ def fit(docs: DataFrame, targets: DataFrame, tokenizer: str | None = None) -> st
     tokenizer = tokenizer or default_tokenizer()
     good = materialize(targets.where("doc_id is not null").select("doc_id").distinct().withColumn("__good", F.lit(True)), "targets")
     rows = docs.join(sized(good, good.count(), 16), "doc_id", "left").select("text", F.coalesce("__good", F.lit(False)).alias("is_target"))
-    uni = np.zeros((2, IDS))
-    bi = np.zeros((2, SLOTS), "f4")
-    merged = materialize(merge_counts(count_ngrams(rows, tokenizer)), "counts")
-    for r in merged.toLocalIterator():
-        both = np.stack([np.frombuffer(r["target"], "<i8"), np.frombuffer(r["background"], "<i8")])
-        p, n = r["part"], both.shape[1]
-        if p >= 0:
-            bi[:, p * n : (p + 1) * n] = both
-        else:
-            uni[:, (-1 - p) * n : -p * n] = both
     place = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
-    _put(place, np.concatenate([uni.astype("f4").reshape(-1), bi.reshape(-1)]).astype("<f4").tobytes())
+    merge_counts(count_ngrams(rows, tokenizer)).write.parquet(place)
     return place
 
 
 def _model(place: str) -> tuple[np.ndarray, np.ndarray]:
+    """The unigram and bigram counts of both models, read from the shared folder once by each worker."""
     if place not in _tables:
+        import pyarrow.dataset as ds
+
         _tables.clear()
-        raw = np.frombuffer(_get(place), "<f4")
-        _tables[place] = raw
-    raw = _tables[place]
-    return raw[: 2 * IDS].reshape(2, IDS), raw[2 * IDS :].reshape(2, SLOTS)
+        fs, path = _fs(place)
+        uni, bi = np.zeros((2, IDS), "f4"), np.zeros((2, SLOTS), "f4")
+        for batch in ds.dataset(path, filesystem=fs, format="parquet").to_batches():
+            for p, *both in zip(*(c.to_pylist() for c in batch.columns)):
+                counts = np.stack([np.frombuffer(x, "<f4") for x in both])
+                n = counts.shape[1]
+                if p >= 0:
+                    bi[:, p * n : (p + 1) * n] = counts
+                else:
+                    uni[:, (-1 - p) * n : -p * n] = counts
+        _tables[place] = uni, bi
+    return _tables[place]
 
 
 class Scorer:
