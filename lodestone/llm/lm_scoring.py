@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, sized, table
+from .common import hold, materialize, shared_dir, sized, table
 from .token_output import _fs, default_tokenizer, encoder
 
 #: Slots of the bigram tables, the ranges they are dealt in, and ids of the vocabulary (rounded up).
@@ -44,13 +44,30 @@ def slots(ids: np.ndarray) -> np.ndarray:
 def _counted(keys: list[np.ndarray], marks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     k, m = np.concatenate(keys), np.concatenate(marks)
     order = np.argsort(k, kind="stable")
-    k, m = k[order], m[order]
+    k, m = k[order].astype("i8"), m[order]
     first = np.flatnonzero(np.diff(k, prepend=-1))
     return k[first], np.add.reduceat(m, first), np.diff(np.append(first, len(k)))
 
 
-def count_ngrams(rows: DataFrame, tokenizer: str) -> DataFrame:
-    """(part, keys, target, background): the counts of each range; part -1 - r holds unigrams. ``rows``: text, is_target.
+def encoded(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """``docs`` with ids (little-endian unsigned 32-bit integers) in place of text, written once for both passes."""
+    tokenizer = tokenizer or default_tokenizer()
+    rows = docs.select(*[c for c in docs.columns if c not in ("text", "ids")], "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer).encode
+        for b in batches:
+            texts = b.column(b.num_columns - 1).to_pylist()
+            for i in range(0, len(texts), 500):
+                part = b.slice(i, 500)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([encode(t or "") for t in texts[i : i + 500]], pa.binary())], [*part.schema.names[:-1], "ids"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return materialize(rows.mapInArrow(run, ", ".join(x for x in (fields, "ids binary") if x)), "ids")
+
+
+def count_ngrams(rows: DataFrame) -> DataFrame:
+    """(part, blob): the counts of each range, for the target and in all; part -1 - r holds unigrams. ``rows``: ids, is_target.
 
     Sums of several rows for a part are left to :func:`merge_counts`.
     """
@@ -58,8 +75,8 @@ def count_ngrams(rows: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        hold({})
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        encode = encoder(tokenizer).encode
         held: dict[str, tuple[list, list]] = {"uni": ([], []), "bi": ([], [])}
         size = 0
 
@@ -82,13 +99,13 @@ def count_ngrams(rows: DataFrame, tokenizer: str) -> DataFrame:
                 marks.clear()
 
         for batch in batches:
-            for text, is_target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.frombuffer(encode(text or ""), "<u4")
-                for kind, keys in (("uni", ids.astype("i8")), ("bi", slots(ids))):
-                    held[kind][0].append(keys)
+            for raw, is_target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = np.frombuffer(raw, "<u4")
+                for kind, keys in (("uni", ids), ("bi", slots(ids))):
+                    held[kind][0].append(keys.astype("i4"))
                     held[kind][1].append(np.full(len(keys), int(is_target), "i4"))
                 size += len(ids)
-                if size > 4_000_000:  # a bound of what a task holds, not of what it counts
+                if size > 2_000_000:  # a bound of what a task holds, not of what it counts
                     yield from flush()
                     size = 0
         yield from flush()
@@ -118,17 +135,16 @@ def merge_counts(blobs: DataFrame) -> DataFrame:
     return blobs.repartition(min(n, RANGES), "part").mapInArrow(run, "part int, target binary, background binary")
 
 
-def fit(docs: DataFrame, targets: DataFrame, tokenizer: str | None = None) -> str:
-    """Counts both models on all of ``docs`` (doc_id, text) into a table in the shared folder; returns its place.
+def fit(docs: DataFrame, targets: DataFrame) -> str:
+    """Counts both models on all of ``docs`` (doc_id, ids) into a table in the shared folder; returns its place.
 
-    ``targets`` (doc_id) names the documents of the target model. Null texts count as empty; null ids are no targets.
+    ``targets`` (doc_id) names the documents of the target model. Null ids of documents are no targets.
     """
     spark = docs.sparkSession
-    tokenizer = tokenizer or default_tokenizer()
     good = materialize(targets.where("doc_id is not null").select("doc_id").distinct().withColumn("__good", F.lit(True)), "targets")
-    rows = docs.join(sized(good, good.count(), 16), "doc_id", "left").select("text", F.coalesce("__good", F.lit(False)).alias("is_target"))
+    rows = docs.join(sized(good, good.count(), 16), "doc_id", "left").select("ids", F.coalesce("__good", F.lit(False)).alias("is_target"))
     place = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
-    merge_counts(count_ngrams(rows, tokenizer)).write.parquet(place)
+    merge_counts(count_ngrams(rows)).write.parquet(place)
     return place
 
 
@@ -171,21 +187,21 @@ class Scorer:
         return -np.log(p)
 
 
-def score(docs: DataFrame, place: str, tokenizer: str | None = None) -> DataFrame:
-    """``docs`` without text, with n_tokens, target_loss, background_loss (means) and score (their difference).
+def score(docs: DataFrame, place: str) -> DataFrame:
+    """``docs`` without ids, with n_tokens, target_loss, background_loss (means) and score (their difference).
 
-    A null or empty text has no ids; its losses and score are 0. Ids may be null or repeat; an empty table gives no rows.
+    A document without ids (a null or empty text) has losses and score 0. A null or repeated doc_id is fine; an empty table gives no rows.
     """
-    tokenizer = tokenizer or default_tokenizer()
     new = ("n_tokens", "target_loss", "background_loss", "score")
-    rows = docs.select(*[c for c in docs.columns if c != "text" and c not in new], "text")
+    rows = docs.select(*[c for c in docs.columns if c != "ids" and c not in new], "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, scorer = encoder(tokenizer).encode, Scorer(*_model(place))
+        hold({})
+        scorer = Scorer(*_model(place))
         for b in batches:
             out = []
-            for text in b.column(b.num_columns - 1).to_pylist():
-                ids = np.frombuffer(encode(text or ""), "<u4").astype("i8")
+            for raw in b.column(b.num_columns - 1).to_pylist():
+                ids = np.frombuffer(raw, "<u4").astype("i8")
                 t, g = scorer.losses(ids).mean(axis=1) if len(ids) else (0.0, 0.0)
                 out.append((len(ids), float(t), float(g), float(t - g)))
             columns = list(zip(*out)) or [()] * 4
@@ -197,6 +213,6 @@ def score(docs: DataFrame, place: str, tokenizer: str | None = None) -> DataFram
 
 def op5_lm_scoring(spark, sf_dir: str) -> DataFrame:
     """Target: documents labelled as of good quality. Background: all documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
     place = fit(docs, table(spark, sf_dir, "labels").where("quality = 1"))
     return score(docs, place)

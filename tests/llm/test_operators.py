@@ -243,12 +243,13 @@ def test_mixing(spark, odd, none):
 
 def test_lm_scores(spark, odd, none):
     docs = spark.createDataFrame([(i, text(i) if i % 2 else " ".join(reversed(text(i).upper().split("a")))) for i in range(40)], "doc_id long, text string")
-    place = lm_scoring.fit(docs, spark.createDataFrame([(i,) for i in range(40) if i % 2] + [(None,)], "doc_id long"))
-    got = {r["doc_id"]: r for r in lm_scoring.score(docs, place).collect()}
+    ids = lm_scoring.encoded(docs)
+    place = lm_scoring.fit(ids, spark.createDataFrame([(i,) for i in range(40) if i % 2] + [(None,)], "doc_id long"))
+    got = {r["doc_id"]: r for r in lm_scoring.score(ids, place).collect()}
     assert np.mean([got[i]["score"] for i in range(1, 40, 2)]) < np.mean([got[i]["score"] for i in range(0, 40, 2)])
-    odd_scores = lm_scoring.score(odd, place).collect()
+    odd_scores = lm_scoring.score(lm_scoring.encoded(odd), place).collect()
     assert len(odd_scores) == 12 and all(r["score"] == 0 for r in odd_scores if not r["n_tokens"])
-    assert lm_scoring.score(none, lm_scoring.fit(none, docs.select("doc_id"))).count() == 0
+    assert lm_scoring.score(lm_scoring.encoded(none), lm_scoring.fit(lm_scoring.encoded(none), docs.select("doc_id"))).count() == 0
 
 
 def test_pipeline_stages(spark, tmp_path):
