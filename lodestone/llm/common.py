@@ -62,3 +62,18 @@ def unit_hash(*parts: Column | str, seed: int = 0) -> Column:
     """A number in [0, 1) from the first 52 bits of an MD5 digest, the same in any engine that has MD5."""
     text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(p).cast("string") if isinstance(p, str) else p.cast("string"), F.lit("")) for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+_held: dict | None = None
+
+
+def hold(cache: dict) -> dict:
+    """Says that a worker now fills ``cache``: what it remembered for another operator is let go.
+
+    Workers live on from stage to stage, and so would all that each operator remembers.
+    """
+    global _held
+    if _held is not None and _held is not cache:
+        _held.clear()
+    _held = cache
+    return cache

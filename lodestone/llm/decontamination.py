@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sized, table, with_row_id
+from .common import hold, materialize, sized, table, with_row_id
 
 WINDOW, SHINGLE = 10, 5
 #: Bits of a hash that address the bit map: 2 MB, whatever the benchmark's size.
@@ -78,8 +78,8 @@ def _word_hash(word: str) -> int:
 
 
 def word_hashes(found: list[str]) -> np.ndarray:
-    known = _hashes
-    if len(known) > 500_000:
+    known = hold(_hashes)
+    if len(known) > 200_000:
         known.clear()
     for w in found:
         if w not in known:

@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, table
+from .common import hold, id_crc, table
 
 #: Expected characters of the sample of each language, and EM rounds.
 SAMPLE_CHARS, ROUNDS = 600_000, 3
 LONGEST, MARK = 32, "▁"
 #: Words that a worker remembers at most; beyond that it starts anew. Only speed depends on it.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 WORDS_AT_ONCE, TEXTS_AT_ONCE = 8192, 256
 UNKNOWN = 1e-6
 FLOOR = 0.02  # added to each expected count
@@ -116,7 +116,7 @@ class Model:
 
     def posteriors(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """The posterior of each text over the languages; None for a text without a letter."""
-        known = _memory.setdefault(self.name, Memory(len(self.languages)))
+        known = hold(_memory).setdefault(self.name, Memory(len(self.languages)))
         out: list[np.ndarray | None] = []
         for begin in range(0, len(texts), TEXTS_AT_ONCE):
             lists = [words_of(t) if t and any(map(str.isalpha, t)) else [] for t in texts[begin : begin + TEXTS_AT_ONCE]]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sized, table, with_row_id
+from .common import hold, materialize, sized, table, with_row_id
 from .components import connected_components
 
 SEED = 42
@@ -81,6 +81,7 @@ def with_fingerprints(docs: DataFrame, width: int = WIDTH, count: int = 1, keep:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold({})
         for b in batches:
             fps = np.array([fingerprints(t, width, count) for t in b.column(b.num_columns - 1).to_pylist()], dtype="u8").reshape(-1, count).view("i8")
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(list(fps), pa.list_(pa.int64()))], [*b.schema.names[:-1], "fps"])

@@ -38,7 +38,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import hold, shared_dir, table
 
 MAGIC = b"LTOK0001"
 HEADER = "<8s32sQQ8s"
@@ -127,6 +127,7 @@ class WordEncoder:
 
 
 def encoder(path: str) -> WordEncoder:
+    hold(_encoders)
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
