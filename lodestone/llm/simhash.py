@@ -14,6 +14,11 @@
    operations. A shard gives a spanning forest of its links: at most one edge for each member.
 5. Components of the forests' union come from star rounds, then reach the documents by two joins.
 
+Where rows are dropped, fingerprints are one of two sources of candidates: at a Jaccard
+similarity of 0.8 they seldom come within 3 bits. The other is MinHash bands, which miss
+such a pair with a chance of 7e-5. Each bucket (a band's key, or a component of
+fingerprints) compares all its members' shingle sets exactly, and only pairs that hold link.
+
 Nothing about documents is gathered on the driver; what is broadcast is the list
 of large blocks, at most 262,144 rows.
 """
@@ -35,34 +40,51 @@ RADIUS = 3
 WIDTH = 3
 #: Words of a shingle, and fingerprints, where rows are dropped.
 STAGE_WIDTH, STAGE_FINGERPRINTS = 5, 8
+#: Jaccard similarity of shingle sets, as a fraction, from which the stage drops a row.
+SIMILAR = (4, 5)
+#: MinHash bands and values in each: a pair at 0.8 shares no band with a chance of (1 - 0.8^5)^24 = 7e-5.
+BANDS, BAND_ROWS = 24, 5
+MIX = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype="u8") << np.uint64(1) | np.uint64(1)
 #: Members of a shard beyond which it is dealt again, and of a tree.
 SHARD = 2048
+#: Members of a bucket, and bytes of their shingle sets, beyond which it is cut into parts that meet two at a time.
+BUCKET, BUCKET_BYTES = 1024, 32 << 20
 #: Rows that are searched together, and queries that walk the trees together.
 BLOCK, QUERIES = 1 << 16, 1 << 12
 
 
-def fingerprints(text: bytes | None, width: int = WIDTH, count: int = 1) -> list[int]:
-    """Unsigned fingerprints of a text's lower-cased (A-Z) word shingles, repeats included; 0 without words.
-
-    The first is made of the shingles' hashes; each further one of the hashes mixed anew, so it errs on its own.
-    """
+def shingle_hashes(text: bytes | None, width: int = WIDTH) -> np.ndarray:
+    """The 64-bit hashes of a text's lower-cased (A-Z) word shingles, repeats included."""
     import xxhash
 
     words = (text or b"").lower().split()  # bytes: ASCII letters and white space only
     if not words:
-        return [0] * count
+        return np.zeros(0, "<u8")
     if len(words) <= width:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*[words[i:] for i in range(width)]))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, SEED) for s in shingles], dtype="<u8")
+    return np.array([digest(s, SEED) for s in shingles], dtype="<u8")
+
+
+def _remix(hashes: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        hashes = (hashes ^ hashes >> np.uint64(31)) * np.uint64(0x7FB5D329728EA185)
+    return hashes ^ hashes >> np.uint64(27)
+
+
+def prints_of(hashes: np.ndarray, count: int = 1) -> list[int]:
+    """Unsigned fingerprints of shingle hashes; 0 without any.
+
+    The first is made of the hashes; each further one of the hashes mixed anew, so it errs on its own.
+    """
+    if not len(hashes):
+        return [0] * count
     out = []
     for k in range(count):
         if k:
-            with np.errstate(over="ignore"):
-                hashes = (hashes ^ hashes >> np.uint64(31)) * np.uint64(0x7FB5D329728EA185)
-                hashes ^= hashes >> np.uint64(27)
+            hashes = _remix(hashes)
         ones = np.zeros(64, "i8")
         for i in range(0, len(hashes), 1 << 14):
             bits = np.unpackbits(hashes[i : i + (1 << 14)].view("u1").reshape(-1, 8), axis=1, bitorder="little")
@@ -71,6 +93,26 @@ def fingerprints(text: bytes | None, width: int = WIDTH, count: int = 1) -> list
     return out
 
 
+def fingerprints(text: bytes | None, width: int = WIDTH, count: int = 1) -> list[int]:
+    """Unsigned fingerprints of a text's shingles; 0 without words."""
+    return prints_of(shingle_hashes(text, width), count)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key for each of ``BANDS`` bands of ``BAND_ROWS`` MinHash values of a set of shingle hashes. Equal keys make candidates."""
+    least = np.full(len(MIX), ~np.uint64(0))
+    with np.errstate(over="ignore"):
+        for i in range(0, len(shingles), 256):
+            h = shingles[i : i + 256] * MIX[:, None]
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            np.minimum(least, h.min(axis=1), out=least)
+        key = np.arange(BANDS, dtype="u8")
+        for row in least.reshape(BANDS, BAND_ROWS).T:
+            key = _remix(key * np.uint64(0xD6E8FEB86659FD93) + row)
+    return key
+
+
 def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
     return fingerprints(text, width)[0]
 
@@ -280,31 +322,152 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(members, "fp").select("doc_id", hex_, "component_id")
 
 
+# --- exact similarity ----------------------------------------------------------------------------
+
+
+def with_signatures(docs: DataFrame, width: int, count: int) -> DataFrame:
+    """(doc_id, __row, n, digest, fps, bands) of each row: size and 128-bit digest of its shingle set, fingerprints, MinHash keys."""
+    rows = docs.select("doc_id", "__row", F.col("text").cast("binary"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        hold({})
+        for b in batches:
+            out = []
+            for t in b.column(2).to_pylist():
+                hashes = shingle_hashes(t, width)
+                shingles = np.unique(hashes)
+                prints = np.array(prints_of(hashes, count), "u8").view("i8")
+                out.append((len(shingles), xxhash.xxh3_128_digest(shingles.tobytes()), prints, band_keys(shingles).view("i8")))
+            n, digest, fps, bands = zip(*out) if out else [()] * 4
+            columns = pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(fps, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *columns], ["doc_id", "__row", "n", "digest", "fps", "bands"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, __row long, n long, digest binary, fps array<long>, bands array<long>")
+
+
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(node, shingles): the sorted distinct shingle hashes of each row (__row, text), as little-endian 64-bit integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold({})
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for i in range(0, len(texts), 500):
+                sets = [np.unique(shingle_hashes(t, width)).tobytes() for t in texts[i : i + 500]]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 500), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    return docs.select("__row", F.col("text").cast("binary")).mapInArrow(run, "node long, shingles binary")
+
+
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of several sets share."""
+    m = len(sets)
+    out = np.zeros((m, m), "f8")
+    if m == 2:
+        out[0, 1] = out[1, 0] = len(np.intersect1d(*sets, assume_unique=True))
+        return out
+    owner = np.repeat(np.arange(m), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = column.reshape(-1)
+    shared = count > 1
+    pick = shared[column]
+    owner, column = owner[pick], (np.cumsum(shared) - 1)[column[pick]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for lo in range(0, int(shared.sum()), 2048):
+        i, j = np.searchsorted(column, [lo, lo + 2048])
+        has = np.zeros((m, 2048), "f4")
+        has[owner[i:j], column[i:j] - lo] = 1
+        out += has @ has.T
+    np.fill_diagonal(out, 0)
+    return out
+
+
+def similar_edges(side: np.ndarray, node: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of a bucket's pairs that are ``SIMILAR`` (exact counts of shingles). Members of sides 1 and 2 meet only each other."""
+    if len(node) < 2:
+        return node[:0], node[:0]
+    both, size = common(sets), np.array([len(x) for x in sets])
+    links = SIMILAR[1] * both >= SIMILAR[0] * (size[:, None] + size - both)
+    links &= (side[:, None] != side) | (side == 0)
+    united = Union(len(node))
+    united.add(*np.nonzero(np.triu(links, 1)))
+    other = np.flatnonzero(united.root != np.arange(len(node)))
+    return node[united.root[other]], node[other]
+
+
+def verified_edges(buckets: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """(a, b): edges whose components are those of all similar pairs that share a bucket.
+
+    ``buckets``: key, node, n (size of the shingle set); ``rows``: __row, text of the nodes. Every pair of a bucket is
+    compared; a large bucket is cut, and each part meets each other part in a task of its own.
+    """
+    size = F.greatest(F.ceil(F.col("count") / BUCKET), F.ceil(F.col("n") * 8 / BUCKET_BYTES)).cast("int")
+    parts = materialize(buckets.groupBy("key").agg(F.count("*").alias("count"), F.sum("n").alias("n")).where("count > 1").select("key", size.alias("parts")), "buckets")
+    members = buckets.join(parts, "key").withColumn("p", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
+    members = members.withColumn("o", F.explode(F.expr("sequence(0, parts - 1)"))).select(
+        F.xxhash64("key", F.least("p", "o"), F.greatest("p", "o")).alias("shard"),
+        F.when(F.col("p") == F.col("o"), 0).when(F.col("p") < F.col("o"), 1).otherwise(2).alias("side"),
+        "node",
+    )
+    members = materialize(members, "members")
+    need = materialize(members.select(F.col("node").alias("__row")).distinct(), "need")
+    sets = shingle_sets(rows.join(sized(need, need.count(), 16), "__row", "left_semi"), width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold({})
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            _, side, node, sets = zip(*held)
+            a, b = similar_edges(np.array(side), np.array(node, "i8"), [np.frombuffer(x, "<u8") for x in sets])
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if held and held[-1][0] != row[0]:
+                    yield flush()
+                held.append(row)
+        if held:
+            yield flush()
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.join(sets, "node").select("shard", "side", "node", "shingles").repartition(n, "shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = STAGE_WIDTH, count: int = STAGE_FINGERPRINTS) -> DataFrame:
     """The rows of ``docs`` without all but one of each component of near-duplicates.
 
-    Texts are linked if any of their ``count`` fingerprints are at most 3 bits apart. Two texts
-    with a similarity of 0.8 are only so with a chance of about one in seven by one fingerprint,
-    so there are several. The row with the smallest doc_id stays (a null id counts as the largest;
+    Texts are linked if the Jaccard similarity of their sets of shingles is 0.8 or more, counted exactly.
+    Pairs are compared if they share a MinHash band, or are in reach by fingerprints at most 3 bits apart (any of ``count``).
+    The row with the smallest doc_id stays (a null id counts as the largest;
     of repeated ids, any one row). Rows whose text is null or has no words have no
     content to compare and all stay. An empty table gives no rows; all columns stay.
     """
     rows = materialize(with_row_id(docs, "__row"), "rows")
     has_words = F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    prints = with_fingerprints(rows.where(has_words), width, count, keep=("doc_id", "__row"))
-    prints = materialize(prints.withColumn("print", F.xxhash64("fps")), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")
-    distinct = materialize(prints.groupBy("print", "fps").agg(F.min(order).alias("first")).withColumn("node", F.col("first.__row")), "prints")
+    prints = materialize(with_signatures(rows.where(has_words), width, count), "signatures")
+    # equal sets collapse to one node
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row", "n", "fps", "bands")).alias("first")
+    distinct = prints.groupBy("digest").agg(first).select("digest", F.struct("first.no_id", "first.doc_id", "first.__row").alias("first"), F.col("first.__row").alias("node"), "first.n", "first.fps", "first.bands")
+    distinct = materialize(distinct, "prints")
     each = distinct.select("node", F.posexplode("fps").alias("k", "fp"))
     # the node that stands for a fingerprint, and an edge to it from each other node that has it
     stands = materialize(each.groupBy("k", "fp").agg(F.min("node").alias("node")), "stands")
     same = each.join(stands.withColumnRenamed("node", "stand"), ["k", "fp"]).where("node != stand").select(F.col("stand").alias("a"), F.col("node").alias("b"))
-    labels = connected_components(link_forest(stands).unionByName(same))
-    classes = distinct.join(labels, "node", "left").select("print", "fps", "first", F.coalesce("label", "node").alias("label"))
+    near = connected_components(link_forest(stands).unionByName(same))
+    buckets = distinct.select(F.explode("bands").alias("key"), "node", "n").unionByName(near.join(distinct, "node").select(F.xxhash64(F.lit(8), "label").alias("key"), "node", "n"))
+    labels = connected_components(verified_edges(buckets, rows, width))
+    classes = distinct.join(labels, "node", "left").select("digest", "first", F.coalesce("label", "node").alias("label"))
     classes = materialize(classes, "classes")
     best = materialize(classes.groupBy("label").agg(F.min("first").alias("keep")), "keep")
-    keep = materialize(classes.join(best, "label").select("print", "fps", F.col("keep.__row").alias("keep")), "keepers")
-    gone = materialize(prints.join(keep, ["print", "fps"]).where("__row != keep").select("__row"), "gone")
+    keep = materialize(classes.join(best, "label").select("digest", F.col("keep.__row").alias("keep")), "keepers")
+    gone = materialize(prints.join(keep, "digest").where("__row != keep").select("__row"), "gone")
     return rows.join(sized(gone, gone.count(), 16), "__row", "left_anti").select(*docs.columns)
 
 

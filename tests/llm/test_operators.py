@@ -107,6 +107,27 @@ def test_near_copies_go_and_others_stay(spark, odd, none):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [2, 1024])
+def test_near_copies_by_jaccard(spark, monkeypatch, bucket):
+    """Whatever is at 0.8 or more to another text goes, nothing else: one word in 50 or 40 changed, or so many that 0.8 isn't reached; long and short."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket, raising=False)
+    r = random.Random(1)
+    docs, pairs = [], {True: 0, False: 0}
+    for i in range(60):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.choice([50, 100, 400]))]
+        docs.append(words)
+        for step in (50, 40, 25, 18):
+            docs.append([f"x{i}" if k % step == step // 2 else w for k, w in enumerate(words)])
+    sets = [set(zip(*[d[i:] for i in range(5)])) for d in docs]
+    alike = [(a, b) for a in range(len(docs)) for b in range(a + 1, len(docs)) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for a, b in alike:
+        pairs[a // 5 == b // 5] += 1
+    assert pairs[True] > 100 and not pairs[False]
+    want = {min(g) for g in components(range(len(docs)), alike)}
+    table = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string").repartition(3)
+    assert {x["doc_id"] for x in simhash.drop_near_duplicates(table).collect()} == want
+
+
 def plain_contamination(docs, items, window=10):
     wins = {}
     for item, t in items:
