@@ -273,6 +273,34 @@ def test_lm_scores(spark, odd, none):
     assert lm_scoring.score(lm_scoring.encoded(none), lm_scoring.fit(lm_scoring.encoded(none), docs.select("doc_id"))).count() == 0
 
 
+@pytest.mark.parametrize("resident", [None, 0])
+def test_lm_counts_are_exact(spark, resident):
+    """Scores against plain counts by pair, with more pairs than a table of a fixed size keeps apart."""
+    r = np.random.default_rng(1)
+    docs = [r.integers(0, 60_000, 20_000) for _ in range(16)] + [np.array([5]), np.zeros(0, "i8"), np.array([0, 0, 0, 65_535, 65_535])]
+    frame = spark.createDataFrame([(i, bytearray(d.astype("<u4").tobytes())) for i, d in enumerate(docs)], "doc_id long, ids binary")
+    place = lm_scoring.fit(frame, spark.createDataFrame([(i,) for i in range(0, 19, 2)], "doc_id long"))
+    got = {x["doc_id"]: x for x in lm_scoring.score(frame, place, *([] if resident is None else [resident])).collect()}
+    models = []
+    for part in (docs[::2], docs):
+        uni, bi = {}, {}
+        for d in part:
+            for x in d.tolist():
+                uni[x] = uni.get(x, 0) + 1
+            for x in zip(d.tolist(), d[1:].tolist()):
+                bi[x] = bi.get(x, 0) + 1
+        models.append((uni, bi, sum(uni.values())))
+    for i, d in enumerate(docs):
+        for (uni, bi, total), column in zip(models, ("target_loss", "background_loss")):
+            loss, before = 0.0, None
+            for x in d.tolist():
+                p = uni.get(x, 0) / total * (1 - lm_scoring.UNIFORM) + lm_scoring.UNIFORM / lm_scoring.IDS
+                if uni.get(before):
+                    p = lm_scoring.BIGRAM * min(bi.get((before, x), 0) / uni[before], 1.0) + (1 - lm_scoring.BIGRAM) * p
+                loss, before = loss - np.log(p), x
+            assert got[i][column] == pytest.approx(loss / max(len(d), 1), abs=1e-5)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
