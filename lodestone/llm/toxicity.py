@@ -16,7 +16,9 @@ these into the score.
 
 from __future__ import annotations
 
+import heapq
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,6 +34,8 @@ from .common import id_crc, sized, table
 SAMPLE_DOCS = 9000
 #: Share of the sample (by hash) that trains the dictionaries; the rest calibrates.
 DICT_SHARE = 2 / 3
+#: Characters of ordinary texts that train the ordinary dictionary, about; the texts are chosen by a hash, whatever their order.
+ORDINARY_CHARS = 8_000_000
 ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 16384, 2048, 9
 #: Bytes of a window, and from one to the next.
 WINDOW, STRIDE = 96, 80
@@ -96,11 +100,35 @@ def _dictionary(size: int, samples: list[bytes]) -> bytes:
         return b" ".join(dict.fromkeys(samples))[:size]  # too little text to train on
 
 
-def train(rows: Iterator[tuple[str, int, bool]]) -> Model:
-    """Fits on (text, label, for the dictionaries?). With one label only, or none, every score is the same."""
-    toxic_docs, ordinary, rest, seen = [], [], [], Counter()
+class Chosen:
+    """The texts with the least hashes that together have ``chars`` characters or more; all texts if they have fewer."""
+
+    def __init__(self, chars: int):
+        self.chars, self.size, self.heap = chars, 0, []
+        self.end: tuple | None = None  # the least that went
+
+    def add(self, text: str) -> None:
+        data = text.encode("utf-8", "surrogatepass")
+        key = (-zlib.crc32(data), zlib.adler32(data), text)  # the largest hash is on top of the heap
+        if self.end is not None and key <= self.end:
+            return
+        heapq.heappush(self.heap, key)
+        self.size += len(text)
+        while self.size - len(self.heap[0][2]) >= self.chars:
+            self.end = heapq.heappop(self.heap)
+            self.size -= len(self.end[2])
+
+    def texts(self) -> list[str]:
+        return [key[2] for key in sorted(self.heap, reverse=True)]
+
+
+def train(rows: Iterator[tuple[str, int, bool]], ordinary_chars: int = ORDINARY_CHARS) -> Model:
+    """Fits on (text, label, for the dictionaries?). With one label only, or none, every score is the same.
+
+    The ordinary dictionary is trained on ordinary texts of about ``ordinary_chars`` characters, chosen by a hash of the text.
+    """
+    toxic_docs, ordinary, rest, seen = [], Chosen(ordinary_chars), [], Counter()
     held_by: Counter[str] = Counter()
-    ordinary_chars = 0
     for text, label, first in rows:
         if not first:
             rest.append((text, label))
@@ -111,9 +139,7 @@ def train(rows: Iterator[tuple[str, int, bool]]) -> Model:
             toxic_docs.append((text, found))
         else:
             held_by.update(found)
-            if ordinary_chars < 8_000_000:  # bytes that train the ordinary dictionary
-                ordinary_chars += len(text)
-                ordinary += windows(text)
+            ordinary.add(text)
     if not seen[1] or not seen[0]:
         return Model(b"", b"")
     toxic_by = Counter(g for _, found in toxic_docs for g in found)
@@ -124,6 +150,7 @@ def train(rows: Iterator[tuple[str, int, bool]]) -> Model:
     for text, found in toxic_docs:
         if found & marks:
             marking += [f" {w} " for w in _WORD.findall(text.lower()) if not marks.isdisjoint(beginnings(w))]
+    ordinary = [w for text in ordinary.texts() for w in windows(text)]
     model = Model(_dictionary(ORDINARY_BYTES, ordinary), _dictionary(TOXIC_BYTES, [(a + b).encode() for a, b in zip(marking, marking[1:] or marking)]))
     rest = rest or [(t, 1) for t, _ in toxic_docs]
     clean = [model.savings(t) for t, label in rest if not label]
@@ -152,9 +179,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 3
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, ordinary_chars: int = ORDINARY_CHARS) -> Model:
     """Fits on a bounded sample of ``docs`` (doc_id, text) with a label in ``labels`` (doc_id, toxic), chosen by a hash of doc_id.
 
+    Of its ordinary texts, about ``ordinary_chars`` characters train the ordinary dictionary, see :func:`train`.
+
     Null texts count as empty; null labels and ids are passed over; of several labels of an id the largest counts.
     """
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
@@ -165,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
     rows = docs.where(chosen).join(sized(some, min(n, sample_docs), 16), "doc_id")
     first = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 30)) < F.lit(round(DICT_SHARE * (1 << 30)))
     rows = rows.select(F.coalesce("text", F.lit("")), F.col("__toxic").cast("int"), first)
-    return train(tuple(r) for r in rows.toLocalIterator())
+    return train((tuple(r) for r in rows.toLocalIterator()), ordinary_chars)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

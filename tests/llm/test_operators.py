@@ -232,6 +232,21 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score(none, toxicity.fit(none, labels)).count() == 0
 
 
+def test_toxicity_ordinary_texts_by_hash():
+    """Which ordinary texts train the dictionary doesn't depend on the order of the rows, and the bound holds."""
+    rows = [(text(i, 60), 0, True) for i in range(300)] + [(text(i, 20) + " scumbag worthless", 1, True) for i in range(300, 340)]
+    bound = sum(len(t) for t, label, _ in rows if not label) // 3
+    a, b = (toxicity.train(iter(x), bound) for x in (rows, rows[::-1]))
+    assert a.ordinary == b.ordinary
+    chosen = [toxicity.Chosen(bound) for _ in range(2)]
+    for c, part in zip(chosen, (rows, rows[::-1])):
+        for t, _, _ in part:
+            c.add(t)
+    texts = chosen[0].texts()
+    assert texts == chosen[1].texts() and bound <= sum(map(len, texts)) < bound + max(map(len, texts))
+    assert texts[:5] != [t for t, _, _ in rows[:5]]
+
+
 def test_pii_spans(odd, none):
     t = "mail a.b@c.de, ip 1.2.3.4 card 4111 1111 1111 1111 call +49 (30) 1234567 GB82 WEST 1234 5698 7654 32 ssn 123-45-6789, 123.300.1.1"
     found = [(k, t[s:e]) for k, s, e, _ in pii.spans_of(t)]
