@@ -1,7 +1,8 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained: one on windows of ordinary text, and one on
-windows of toxic text around the strings that mark it. A window is compressed
+the words that mark toxic text alone, in pairs as they follow each other (what stands
+between them is left out, so phrases of ordinary words aren't in it). A window is compressed
 with the ordinary dictionary alone and with the toxic one in front of it; the bytes saved
 by the second are the window's distance towards toxic text. Since the second
 dictionary holds the first, what both know cancels out.
