@@ -6,8 +6,8 @@ kinds: ``iban`` (mod-97), ``ssn`` (digits in groups of 3, 2, 4, valid ranges; it
 context word) and ``imei`` (15 digits that pass Luhn; it needs a context word).
 
 Each span has a score: its kind's base score, raised where a context word of the
-kind stands in the ``CONTEXT`` characters before it, lowered where a word that speaks
-against it does. Base spans are always kept and only scored; spans of the further kinds
+kind stands in the ``CONTEXT`` characters before or after it, lowered where a word that speaks
+against it stands before it. Base spans are always kept and only scored; spans of the further kinds
 are kept from ``THRESHOLD`` on.
 """
 
@@ -97,21 +97,24 @@ def proposals(text: str) -> Iterator[tuple[str, int, int, bool]]:
     if "+" in text:
         for m in _PHONE.finditer(text):
             yield "phone", *m.span(), 9 <= len(_digits(m[0])) <= 15
-    for m in _IBAN.finditer(text):
+    at = 0
+    while m := _IBAN.search(text, at):
         end = m.end()  # capital words may follow: cut at spaces until the checksum holds
         while len(compact := text[m.start() : end].replace(" ", "")) >= 15 and not mod97(compact) and " " in text[m.start() : end]:
             end = text.rindex(" ", m.start(), end)
-        yield "iban", m.start(), end, len(compact) >= 15 and mod97(compact)
+        ok = len(compact) >= 15 and mod97(compact)
+        yield "iban", m.start(), end, ok
+        at = end if ok else m.start() + 1  # what was cut off, or lies in a match that doesn't hold, may start another
     for m in _SSN.finditer(text):
         yield "ssn", *m.span(), m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000"
     for m in _IMEI.finditer(text):
         yield "imei", *m.span(), luhn(m[0])
 
 
-def score(kind: str, text: str, start: int) -> float:
+def score(kind: str, text: str, start: int, end: int) -> float:
     before = text[max(0, start - CONTEXT) : start]
     out = SCORES[kind]
-    if RAISE[kind].search(before):
+    if RAISE[kind].search(before) or RAISE[kind].search(text[end : end + CONTEXT]):
         out += 0.3
     if kind in LOWER and LOWER[kind].search(before):
         out -= 0.3
@@ -121,7 +124,7 @@ def score(kind: str, text: str, start: int) -> float:
 def spans_of(text: str | None) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) of each span that is kept; places are code points, the end exclusive."""
     text = text or ""
-    found = [(k, s, e, score(k, text, s)) for k, s, e, ok in proposals(text) if ok]
+    found = [(k, s, e, score(k, text, s, e)) for k, s, e, ok in proposals(text) if ok]
     return [x for x in found if x[0] in BASE or x[3] >= THRESHOLD]
 
 

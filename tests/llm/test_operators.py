@@ -255,6 +255,17 @@ def test_pii_spans(odd, none):
     assert pii.redact(odd).columns == odd.columns
 
 
+def test_pii_neighbours_and_context_after():
+    def kept(t):
+        return [(k, t[s:e]) for k, s, e, _ in pii.spans_of(t) if k in ("iban", "ssn", "imei")]
+
+    gb, de = "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"
+    assert kept(f"{gb} {de}") == [("iban", gb), ("iban", de)] and kept(f"{de} {gb} {de}") == [("iban", de), ("iban", gb), ("iban", de)]
+    assert kept(f"AB12 CDEF GHIJ {gb} END") == [("iban", gb)]
+    assert kept("123-45-6789 is the social security number") == [("ssn", "123-45-6789")] and kept("490154203237518, the imei") == [("imei", "490154203237518")]
+    assert kept("123-45-6789" + " and so on" * 5 + " ssn") == []
+
+
 def test_url_filter_odd(spark):
     urls = [None, "", "nohost", "https://EXAMPLE.org/es/x?q=1#f", "https://a.example.org/en/12", "http://b.com/de/?x", "http://b.com/fr/", "ftp://x.org", "http://notorg/", "http://c.net/a//b?u=1&v=2", "http://b.com/de/?x"]
     pages = spark.createDataFrame([(i, u, "clash", 1) for i, u in enumerate(urls)], "page_id long, url string, host string, suffix int")
