@@ -159,18 +159,31 @@ def _get(uri: str) -> bytes:
         return f.read()
 
 
+def _spread(ids: bytes, most: int = DICT_IDS, ranges: int = 4) -> bytes:
+    """At most ``most`` ids, as ranges spread over all of ``ids``."""
+    n, size = len(ids) // 4, most // ranges
+    if n <= most:
+        return ids
+    return b"".join(ids[4 * at : 4 * (at + size)] for at in ((n - size) * i // (ranges - 1) for i in range(ranges)))
+
+
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> bytes:
     """A zstandard dictionary from the serialized ids of a bounded sample of documents.
 
     The sample has about ``DICT_DOCS`` documents, chosen by a hash of doc_id;
-    at most ``DICT_IDS`` ids of each are used. With too little text the dictionary is empty.
+    at most ``DICT_IDS`` ids of each are used, in four ranges from its beginning to its end. With too little text the dictionary is empty.
     """
     import zstandard
 
     n = max(1, docs.count())
     chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(min(1 << 20, -(-(DICT_DOCS << 20) // n))))
     encode, end = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
-    samples = [encode(r[0] or "")[: 4 * DICT_IDS] + end for r in chosen.select(F.substring("text", 1, 16 * DICT_IDS)).limit(2 * DICT_DOCS).collect()]
+    # of a long text, four pieces of its whole length come to the driver
+    size, length = 4 * DICT_IDS, F.length("text")
+    pieces = [F.substring("text", F.floor((length - size) * i / 3).cast("int") + 1, F.lit(size)) for i in range(4)]
+    some = chosen.orderBy(F.xxhash64("doc_id", F.lit(9)), F.xxhash64("text")).limit(2 * DICT_DOCS)
+    rows = some.select(F.when(length > 4 * size, F.array(*pieces)).otherwise(F.array("text"))).collect()
+    samples = [_spread(b"".join(encode(x or "") for x in r[0])) + end for r in rows]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):

@@ -178,6 +178,16 @@ def test_tokens_round_trip(spark, odd, none, tmp_path):
     assert token_output.tokenize_and_read(none).count() == 0
 
 
+def test_token_dictionary_knows_whole_texts(spark):
+    """What stands at the end of long texts trains the dictionary too."""
+    t = token_output.default_tokenizer()
+    ending = text(7, 400)
+    docs = spark.createDataFrame([(i, text(1000 + i, 8000) + " " + ending) for i in range(40)], "doc_id long, text string")
+    zdict = token_output.train_dictionary(docs, t)
+    ids = token_output.encoder(t).encode(" " + ending)
+    assert any(ids[i : i + 160] in zdict for i in range(0, len(ids) - 160, 4))
+
+
 def test_encoder_matches_library():
     from tokenizers import Tokenizer
 
