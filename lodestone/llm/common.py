@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Largest estimated size of a join side that is sent to every executor.
 BROADCAST_BYTES = 64 << 20
+#: Rows that go to a Python worker at once, where the session leaves Spark's default of 10,000. Whole texts are in them, in the JVM and in the worker.
+ARROW_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
@@ -64,16 +73,49 @@ def unit_hash(*parts: Column | str, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-_held: dict | None = None
+_held: tuple[dict, ...] = ()
 
 
-def hold(cache: dict) -> dict:
-    """Says that a worker now fills ``cache``: what it remembered for another operator is let go.
+def hold(*caches: dict) -> None:
+    """Says that a worker now fills ``caches``: what it remembered for another operator is let go, and its memory goes back to the system.
 
     Workers live on from stage to stage, and so would all that each operator remembers.
     """
     global _held
-    if _held is not None and _held is not cache:
-        _held.clear()
-    _held = cache
-    return cache
+    if [id(c) for c in _held] != [id(c) for c in caches]:
+        for c in _held:
+            if not any(c is kept for kept in caches):
+                c.clear()
+        _held = caches
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system; allocators keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library, which has no such call
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow`` with bounded memory: batches of ``ARROW_ROWS`` rows, and freed memory given back as a task ends.
+
+    Spark reads the size of batches from the session as a plan runs, so it is set there; a size other than Spark's default is left alone.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(ARROW_ROWS))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def fields(df: DataFrame, added: str = "", without: tuple[str, ...] = ()) -> StructType:
+    """The fields of ``df``, but for those ``without``, and those of a schema string; names may hold any character."""
+    return StructType([f for f in df.schema.fields if f.name not in without] + (StructType.fromDDL(added).fields if added else []))

@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, materialize, sized, table, with_row_id
+from .common import hold, map_batches, materialize, sized, table, with_row_id
 
 WINDOW, SHINGLE = 10, 5
 #: Bits of a hash that address the bit map: 2 MB, whatever the benchmark's size.
 MAP_BITS = 24
+#: Words whose hashes a worker remembers, and that it adds at once. Only speed depends on it.
+CACHE_WORDS = 100_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _K = 0x9E3779B97F4A7C15
@@ -78,13 +80,17 @@ def _word_hash(word: str) -> int:
 
 
 def word_hashes(found: list[str]) -> np.ndarray:
-    known = hold(_hashes)
-    if len(known) > 200_000:
-        known.clear()
-    for w in found:
-        if w not in known:
-            known[w] = _word_hash(w)
-    return np.array([known[w] for w in found], dtype="u8")
+    hold(_hashes)
+    known, out = _hashes, np.empty(len(found), "u8")
+    for i in range(0, len(found), CACHE_WORDS):
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        some = found[i : i + CACHE_WORDS]
+        for w in some:
+            if w not in known:
+                known[w] = _word_hash(w)
+        out[i : i + CACHE_WORDS] = [known[w] for w in some]
+    return out
 
 
 def shingle_hashes(h: np.ndarray, size: int) -> np.ndarray:
@@ -118,7 +124,7 @@ def prefixes(distinct: DataFrame, size: int = SHINGLE) -> DataFrame:
                 at += range(len(h))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(hs) if hs else [], pa.int64()), pa.array(at, pa.int32())], ["window_id", "hash", "offset"])
 
-    cuts = materialize(distinct.mapInArrow(cut, "window_id long, hash long, offset int"), "shingles")
+    cuts = materialize(map_batches(distinct, cut, "window_id long, hash long, offset int"), "shingles")
     counts = cuts.groupBy("hash").agg(F.count_distinct("window_id").alias("n"))
     best = cuts.join(counts, "hash").groupBy("window_id").agg(F.min(F.struct("n", "hash", "offset")).alias("p"))
     return best.select("window_id", "p.hash", "p.offset").join(distinct, "window_id")
@@ -159,7 +165,7 @@ def candidates(docs: DataFrame, marked, sizes: list[int], window: int = WINDOW,
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(found, kind)], ["__row", "doc_id", "n_words", "found"])
 
     schema = "__row long, doc_id long, n_words long, found array<struct<hash: long, at: int, lead: int, around: array<string>>>"
-    return docs.select("__row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return map_batches(docs.select("__row", F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -208,6 +214,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
+    """Words, hit words and occurring items of each document, see :func:`contamination`."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, materialize, shared_dir, sized, table
+from .common import fields, hold, map_batches, materialize, shared_dir, sized, table
 from .token_output import _fs, default_tokenizer, encoder
 
 #: Ranges that pairs are dealt in, and ids of the vocabulary (rounded up; a pair of ids is a 32-bit number).
@@ -67,8 +67,7 @@ def encoded(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
                 part = b.slice(i, 500)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([encode(t or "") for t in texts[i : i + 500]], pa.binary())], [*part.schema.names[:-1], "ids"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return materialize(rows.mapInArrow(run, ", ".join(x for x in (fields, "ids binary") if x)), "ids")
+    return materialize(map_batches(rows, run, fields(rows, "ids binary", ("text",))), "ids")
 
 
 def count_ngrams(rows: DataFrame) -> DataFrame:
@@ -80,7 +79,7 @@ def count_ngrams(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        hold({})
+        hold()
         squeeze = zstandard.ZstdCompressor(level=1).compress
         held: dict[str, tuple[list, list]] = {"uni": ([], []), "bi": ([], [])}
         size = 0
@@ -118,7 +117,7 @@ def count_ngrams(rows: DataFrame) -> DataFrame:
                     size = 0
         yield from flush()
 
-    return rows.mapInArrow(run, "part int, blob binary")
+    return map_batches(rows, run, "part int, blob binary")
 
 
 def merge_counts(blobs: DataFrame) -> DataFrame:
@@ -155,7 +154,7 @@ def merge_counts(blobs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *columns], ["part", "n", "keys", "target", "background"])
 
     n = int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blobs.repartition(min(n, RANGES), "part").mapInArrow(run, "part int, n long, keys binary, target binary, background binary")
+    return map_batches(blobs.repartition(min(n, RANGES), "part"), run, "part int, n long, keys binary, target binary, background binary")
 
 
 def fit(docs: DataFrame, targets: DataFrame) -> str:
@@ -183,6 +182,7 @@ def _parts(place: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 def _model(place: str, resident: int) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
     """The unigram counts of both models, and the sorted pairs with their counts if there are at most ``resident``; read once by each worker."""
+    hold(_tables)
     if (place, resident) not in _tables:
         import pyarrow.dataset as ds
 
@@ -278,15 +278,13 @@ def score(docs: DataFrame, place: str, resident: int = RESIDENT) -> DataFrame:
     rows = docs.select(*[c for c in docs.columns if c != "ids" and c not in new], "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold({})
         scorer = Scorer(place, resident)
         for b in batches:
             out = [(n, t, g, t - g) for n, t, g in scorer.means([np.frombuffer(raw, "<u4").astype("i8") for raw in b.column(b.num_columns - 1).to_pylist()])]
             columns = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(columns[0], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[1:])], [*b.schema.names[:-1], *new])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, fields + ", n_tokens long, target_loss double, background_loss double, score double")
+    return map_batches(rows, run, fields(rows, "n_tokens long, target_loss double, background_loss double, score double", ("ids",)))
 
 
 def op5_lm_scoring(spark, sf_dir: str) -> DataFrame:

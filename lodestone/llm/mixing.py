@@ -3,7 +3,9 @@
 A source with target weight w (shares of all weights) among N documents, of which it
 has n, gets the mean repetition rate w * N * epochs / n. Each document draws its
 number of copies from a Poisson distribution with that mean, by inverting its
-distribution function at a number that a hash of seed, doc_id, and text gives. So the draw
+distribution function at a number that a hash of seed, doc_id, and text gives. A mean over
+``PART`` is split into equal parts of at most ``PART``, each inverted at a hashed number of its own, and
+the sum is drawn: so a distribution function has few entries whatever the mean. The draw
 needs no coordination, and a task that runs again draws the same. Copies then go
 through a global shuffle: an order by the hash of seed, document, and copy.
 
@@ -21,6 +23,10 @@ from .common import materialize, sized, table, unit_hash
 
 SEED = 17
 EPOCHS = 1.0
+#: Largest mean that is inverted at once; its distribution function has at most ``ENTRIES`` entries.
+PART, ENTRIES = 32, 128
+#: Copies that are exploded at once.
+RUN = 4096
 
 _U = "('0x' || substr(md5(concat_ws(':', {})), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0"
 #: Weights of the query: each source the same share.
@@ -60,7 +66,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
     else:
         spark = docs.sparkSession
         named = spark.createDataFrame([(k, float(w)) for k, w in weights.items()], "name string, weight double")
-        counts = counts.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("name")), "left").select("source", "n", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+        counts = counts.join(sized(named, len(weights), 100), F.col("source").eqNullSafe(F.col("name")), "left").select("source", "n", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     counts = materialize(counts, "sources")
     total = counts.agg(F.sum("n").alias("all_n"), F.sum("weight").alias("all_w"))
     share = F.try_divide(F.col("weight"), F.col("all_w"))
@@ -68,7 +74,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
 
 
 def poisson_cdf(rate: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... far into the tail; terms are carried as logarithms, so large rates don't underflow."""
+    """P(X <= k) for k = 0, 1, ... far into the tail of a mean of at most ``PART``; terms are carried as logarithms."""
     last = F.ceil(rate + 12 * F.sqrt(rate) + 24).cast("int")
     start = F.struct((-rate).alias("logp"), F.array(F.exp(-rate)).alias("cdf"))
 
@@ -79,26 +85,41 @@ def poisson_cdf(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(last - 1, F.lit(1))), start, add, lambda a: a["cdf"])
 
 
+def drawn(parts: Column, cdf: Column, doc_id: str, digest: Column, seed: int) -> Column:
+    """The number of copies (a long): the sum of the draws of all parts. The first part's number is hashed without the part."""
+
+    def draw(u: Column) -> Column:
+        return F.coalesce(F.size(F.filter(cdf, lambda c: c <= u)).cast("long"), F.lit(0).cast("long"))
+
+    others = F.when(parts > 1, F.sequence(F.lit(2).cast("long"), parts)).otherwise(F.array().cast("array<long>"))
+    return F.aggregate(others, draw(unit_hash(doc_id, digest, seed=seed)), lambda a, k: a + draw(unit_hash(doc_id, digest, k, seed=seed)))
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = EPOCHS, seed: int = SEED, column: str = "source") -> DataFrame:
     """The copies of ``docs`` in shuffled order, with copy (from 1), rate and shuffle_key added.
 
     A document is drawn by its doc_id and text together: repeated rows draw the same
     number, and null ids or texts are fine. A source of rate 0 gives no copies. An
-    empty table gives no rows. Columns of ``docs`` with the added names are replaced.
+    empty table gives no rows. Columns of ``docs`` with the added names are replaced. A draw hashes once for
+    each ``PART`` copies or fewer, and copies come in runs, so a rate of any size needs bounded memory.
     """
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c not in ("copy", "rate", "shuffle_key")]
-    table_ = materialize(rates(docs, weights, epochs, column).withColumn("__cdf", F.when(F.col("rate") > 0, poisson_cdf(F.col("rate")))), "rates")
-    table_ = table_.select(F.col("source").alias("__source"), F.col("rate"), "__cdf")
-    met = docs.select(*columns).join(sized(table_, table_.count(), 512), F.col(column).eqNullSafe(F.col("__source")))
+    table_ = rates(docs, weights, epochs, column).withColumn("__parts", F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)))
+    table_ = materialize(table_.withColumn("__cdf", F.when(F.col("rate") > 0, poisson_cdf(F.col("rate") / F.col("__parts")))), "rates")
+    table_ = table_.select(F.col("source").alias("__source"), F.col("rate"), "__parts", "__cdf")
+    met = docs.select(*columns).join(sized(table_, table_.count(), 8 * ENTRIES + 100), F.col(column).eqNullSafe(F.col("__source")))
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    u = unit_hash("doc_id", digest, seed=seed)
-    met = met.withColumn("__text", digest).withColumn("__n", F.coalesce(F.size(F.filter("__cdf", lambda c: c <= u)), F.lit(0)))
-    copies = met.where("__n > 0").withColumn("copy", F.explode(F.expr("sequence(1, __n)")))
+    met = met.withColumn("__text", digest)
+    met = met.withColumn("__n", drawn(F.col("__parts"), F.col("__cdf"), "doc_id", F.col("__text"), seed)).where("__n > 0")
+    # two steps, so that no array grows with the number of copies
+    runs = met.withColumn("__from", F.explode(F.expr(f"sequence(1L, __n, {RUN}L)")))
+    copies = runs.withColumn("copy", F.explode(F.expr(f"sequence(cast(__from as int), cast(least(__n, __from + {RUN - 1}) as int))")))
     copies = copies.withColumn("shuffle_key", unit_hash("doc_id", "__text", "copy", seed=seed + 1))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return copies.select(*columns, "copy", "rate", "shuffle_key").repartition(n, "shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
+    """All documents, each source at the same weight; null sources are a source of their own."""
     return mix(table(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 9))

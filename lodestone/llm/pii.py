@@ -20,14 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_batches, table
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "imei")
 BASE = KINDS[:4]
 CONTEXT, THRESHOLD = 40, 0.5
 
 _AT_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A run of digits is tried once, from its first digit: what fails there fails further on.
+_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
@@ -141,7 +142,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], ["doc_id", "spans"])
 
     schema = "doc_id long, spans array<struct<kind: string, start: long, end: long, score: double>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -161,10 +162,11 @@ def redact(docs: DataFrame) -> DataFrame:
             i = b.schema.get_field_index("text")
             yield b.set_column(i, "text", pa.array([clean(t) for t in b.column(i).to_pylist()], pa.string()))
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:
+    """The spans of each document as counts, digest and text; null and empty texts have none."""
     found = personal_data(table(spark, sf_dir, "documents"))
     written = F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), F.concat_ws(":", x["kind"], x["start"], x["end"]).alias("s")))
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, materialize, sized, table, with_row_id
+from .common import fields, hold, map_batches, materialize, sized, table, with_row_id
 from .components import connected_components
 
 SEED = 42
@@ -120,15 +120,14 @@ def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
 def with_fingerprints(docs: DataFrame, width: int = WIDTH, count: int = 1, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keep..., fps): the signed 64-bit fingerprints of each row's text. A null text has no words."""
     rows = docs.select(*keep, F.col("text").cast("binary").alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold({})
+        hold()
         for b in batches:
             fps = np.array([fingerprints(t, width, count) for t in b.column(b.num_columns - 1).to_pylist()], dtype="u8").reshape(-1, count).view("i8")
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(list(fps), pa.list_(pa.int64()))], [*b.schema.names[:-1], "fps"])
 
-    return rows.mapInArrow(run, fields + ", fps array<long>")
+    return map_batches(rows, run, fields(rows, "fps array<long>", ("__text",)))
 
 
 # --- BK-trees ------------------------------------------------------------------------------------
@@ -297,7 +296,7 @@ def link_forest(prints: DataFrame, shard: int = SHARD, radius: int = RADIUS) ->
 
     dealt = shards_of(prints, shard)
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long").distinct()
+    return map_batches(dealt.repartition(n, "shard").sortWithinPartitions("shard"), run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -332,7 +331,7 @@ def with_signatures(docs: DataFrame, width: int, count: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        hold({})
+        hold()
         for b in batches:
             out = []
             for t in b.column(2).to_pylist():
@@ -344,22 +343,21 @@ def with_signatures(docs: DataFrame, width: int, count: int) -> DataFrame:
             columns = pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(fps, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*b.columns[:2], *columns], ["doc_id", "__row", "n", "digest", "fps", "bands"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, __row long, n long, digest binary, fps array<long>, bands array<long>")
+    return map_batches(rows, run, fields(rows, "n long, digest binary, fps array<long>, bands array<long>", ("text",)))
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """(node, shingles): the sorted distinct shingle hashes of each row (__row, text), as little-endian 64-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold({})
+        hold()
         for b in batches:
             texts = b.column(1).to_pylist()
             for i in range(0, len(texts), 500):
                 sets = [np.unique(shingle_hashes(t, width)).tobytes() for t in texts[i : i + 500]]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 500), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    return docs.select("__row", F.col("text").cast("binary")).mapInArrow(run, "node long, shingles binary")
+    return map_batches(docs.select("__row", F.col("text").cast("binary")), run, "node long, shingles binary")
 
 
 def common(sets: list[np.ndarray]) -> np.ndarray:
@@ -403,10 +401,13 @@ def verified_edges(buckets: DataFrame, rows: DataFrame, width: int) -> DataFrame
     """(a, b): edges whose components are those of all similar pairs that share a bucket.
 
     ``buckets``: key, node, n (size of the shingle set); ``rows``: __row, text of the nodes. Every pair of a bucket is
-    compared; a large bucket is cut, and each part meets each other part in a task of its own.
+    compared; a large bucket is cut, and each part meets each other part in a task of its own. Buckets with the same members count once.
     """
     size = F.greatest(F.ceil(F.col("count") / BUCKET), F.ceil(F.col("n") * 8 / BUCKET_BYTES)).cast("int")
-    parts = materialize(buckets.groupBy("key").agg(F.count("*").alias("count"), F.sum("n").alias("n")).where("count > 1").select("key", size.alias("parts")), "buckets")
+    # near copies share most of their bands: of buckets with the same members (by count and 128 bits of their hashes) one is enough
+    same = F.expr("bit_xor(xxhash64(node, 1))").alias("x"), F.expr("bit_xor(xxhash64(node, 2))").alias("y")
+    counts = buckets.groupBy("key").agg(F.count("*").alias("count"), F.sum("n").alias("n"), *same).where("count > 1")
+    parts = materialize(counts.groupBy("count", "n", "x", "y").agg(F.min("key").alias("key")).select("key", size.alias("parts")), "buckets")
     members = buckets.join(parts, "key").withColumn("p", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
     members = members.withColumn("o", F.explode(F.expr("sequence(0, parts - 1)"))).select(
         F.xxhash64("key", F.least("p", "o"), F.greatest("p", "o")).alias("shard"),
@@ -418,7 +419,7 @@ def verified_edges(buckets: DataFrame, rows: DataFrame, width: int) -> DataFrame
     sets = shingle_sets(rows.join(sized(need, need.count(), 16), "__row", "left_semi"), width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold({})
+        hold()
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
@@ -437,7 +438,7 @@ def verified_edges(buckets: DataFrame, rows: DataFrame, width: int) -> DataFrame
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = members.join(sets, "node").select("shard", "side", "node", "shingles").repartition(n, "shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return map_batches(dealt, run, "a long, b long").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = STAGE_WIDTH, count: int = STAGE_FINGERPRINTS) -> DataFrame:
@@ -472,4 +473,5 @@ def drop_near_duplicates(docs: DataFrame, width: int = STAGE_WIDTH, count: int =
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of each document, see :func:`near_duplicates`."""
     return near_duplicates(table(spark, sf_dir, "documents"))

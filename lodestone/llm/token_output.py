@@ -16,7 +16,7 @@ ascending ``doc_id`` order. A shard is a pair of files:
 
 ``dictionary.zdict`` holds the dictionary; each reader checks its hash.
 
-Shards are cut by ranges of ``doc_id``, so equal ids share a shard. A task
+Shards are cut by ranges of ``doc_id`` and, among equal ids, of a hash of the text. A task
 writes under a temporary name and renames the file when it is complete, and its
 bytes depend on its rows alone: tasks that run again leave the same files.
 """
@@ -38,7 +38,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, shared_dir, table
+from .common import hold, map_batches, shared_dir, table
 
 MAGIC = b"LTOK0001"
 HEADER = "<8s32sQQ8s"
@@ -48,8 +48,11 @@ END_ID = 2
 DICT_DOCS, DICT_IDS, DICT_BYTES = 1000, 2000, 64 << 10
 #: Rows of input for each shard.
 SHARD_ROWS = 20_000
-#: Words, and chunks between white space, in a generation of what a worker remembers. Only speed depends on it.
-CACHE_WORDS, CACHE_CHUNKS = 300_000, 150_000
+#: Words, and chunks between white space, in a generation of what a worker remembers, and the longest that it remembers. Only speed depends on it.
+CACHE_WORDS, CACHE_CHUNKS, CACHE_LONGEST = 150_000, 100_000, 64
+
+#: Chunks of a long text that are looked up at once.
+RUN = 50_000
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SPLIT = re.compile(rf"([{_LATIN}]+)([.,!?;:|%&*#$]*)")
@@ -65,6 +68,9 @@ class WordEncoder:
     marks, which the tokenizer separates and folds anyway. New words go straight
     to the tokenizer's model where a probe shows that this gives the same ids.
 
+    Whether a tokenizer is of this kind is probed with texts of both cases, marks, and several
+    white spaces; one that isn't gets each text whole.
+
     What is remembered has two generations: when the young one is full it
     becomes the old one, and what is met again moves back.
     """
@@ -80,6 +86,9 @@ class WordEncoder:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         as_char = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(printable))}
         self.spelled = str.maketrans({chr(c): "".join(as_char[b] for b in chr(c).encode()) for c in range(256)})
+        tries = ("The Quick  brown\nFOX, jumps\tOVER. the 12 lazy dogs!", " leading and trailing ", "ÀÉÎõü ÑANDÚ Straße (x)%% $$a b.c", "it's we'LL  \r\n end")
+        split = (lambda t: t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+        self.whole = any(self._encode(t) != b"".join(map(self._encode, split(t))) or self._encode(t) != self._encode(t.lower()) for t in tries)
         probe = [chr(c) for c in range(256) if re.fullmatch(f"[{_LATIN}]", chr(c))]
         probe = [w.lower() for w in [*probe, "".join(probe), "word", "dañoèüß", "thestionlybeing"]]
         self.direct = all([t.id for t in self.model.tokenize(w.translate(self.spelled))] == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
@@ -116,13 +125,24 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if self.whole:
+            return self._encode(text)
         chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        if len(chunks) > RUN:
+            return b"".join(self._run(chunks[i : i + RUN]) for i in range(0, len(chunks), RUN))
+        return self._run(chunks)
+
+    def _run(self, chunks: list[str]) -> bytes:
         distinct = set(chunks)
+        long = {c: self._encode(c) for c in distinct if len(c) > CACHE_LONGEST}
+        distinct.difference_update(long)
         before = known = self.chunks[0]
         if missing := [c for c in distinct if c not in known]:
             self._learn(missing)
             if (known := self.chunks[0]) is not before:  # a generation ended in between
                 self._learn([c for c in distinct if c not in known])
+        if long:
+            return b"".join([long[c] if c in long else known[c] for c in chunks])
         return b"".join([known[c] for c in chunks])
 
 
@@ -194,8 +214,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None, end_id
     """Writes ``docs`` (doc_id, text) to the shared folder ``out``; returns the manifest, a row for each shard in order.
 
     A null text counts as empty and gives the end id alone. Rows with a null
-    doc_id come first; rows that share a doc_id are ordered by their text. An
-    empty table gives no shards. Other columns are ignored.
+    doc_id come first; rows that share a doc_id are ordered by their text's hash, then by the text, so that
+    those of an id that repeats very often needn't share a shard. An empty table gives no shards. Other columns are ignored.
     """
     tokenizer = tokenizer or default_tokenizer()
     fs, path = _fs(out)
@@ -235,8 +255,9 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None, end_id
         _put(f"{name}.idx", head + np.array(index, dtype="<i8").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(index)], pa.int64()), pa.array([ids], pa.int64()), pa.array([at], pa.int64())], ["shard", "n_docs", "n_tokens", "n_bytes"])
 
-    dealt = docs.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    done = dealt.mapInArrow(write, "shard long, n_docs long, n_tokens long, n_bytes long").collect()
+    mixed = F.xxhash64("text")
+    dealt = docs.repartitionByRange(shards, F.col("doc_id"), mixed).sortWithinPartitions(F.col("doc_id"), mixed, F.col("text"))
+    done = map_batches(dealt, write, "shard long, n_docs long, n_tokens long, n_bytes long").collect()
     start, manifest = 0, []
     for r in sorted(done, key=lambda r: r["shard"]):
         manifest.append(r.asDict() | {"start": start})
@@ -305,7 +326,7 @@ def read_tokens(spark, out: str, manifest: list[dict], with_ids: bool = False) -
                         yield pa.RecordBatch.from_arrays(cols, names)
 
     shards = spark.createDataFrame([(m["shard"], m["start"]) for m in manifest], "shard long, start long")
-    return shards.repartition(len(manifest)).mapInArrow(read, schema)
+    return map_batches(shards.repartition(len(manifest)), read, schema)
 
 
 def tokenize_and_read(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -316,4 +337,5 @@ def tokenize_and_read(docs: DataFrame, tokenizer: str | None = None) -> DataFram
 
 
 def op4_token_output(spark, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each document, read from the files that it writes."""
     return tokenize_and_read(table(spark, sf_dir, "documents"))

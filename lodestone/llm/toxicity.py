@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, sized, table
+from .common import fields, hold, id_crc, map_batches, sized, table
 
 #: Labelled documents that the classifier is fitted on, about; all of them where there are fewer.
 SAMPLE_DOCS = 9000
@@ -56,6 +56,10 @@ def beginnings(word: str) -> list[str]:
     return [*(w[:k] for k in range(LEAST, min(len(w), MOST) + 1)), w + " "]
 
 
+def _start() -> None:
+    hold(_squeezers)
+
+
 def _squeezer(content: bytes):
     import zstandard
 
@@ -207,16 +211,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.select(*[c for c in docs.columns if c not in ("text", "score")], "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _start()
         model = known.value
         for b in batches:
             scores = [model.score(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())], [*b.schema.names[:-1], "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, ", ".join(x for x in (fields, "score double") if x))
+    return map_batches(rows, run, fields(rows, "score double", ("text",)))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Each document's toxicity: doc_id, held_out, score, predicted. Labels are learned outside the held-out fold; null ids are never learned from."""
     held_out = F.coalesce(id_crc() % 5 == 0, F.lit(True))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
