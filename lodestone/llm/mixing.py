@@ -89,7 +89,9 @@ def drawn(parts: Column, cdf: Column, doc_id: str, digest: Column, seed: int) ->
     """The number of copies (a long): the sum of the draws of all parts. The first part's number is hashed without the part."""
 
     def draw(u: Column) -> Column:
-        return F.coalesce(F.size(F.filter(cdf, lambda c: c <= u)).cast("long"), F.lit(0).cast("long"))
+        # u is bound once; inside the inner function alone it would be hashed again for each entry
+        found = F.transform(F.array(u), lambda x: F.size(F.filter(cdf, lambda c: c <= x)).cast("long"))
+        return F.coalesce(F.element_at(found, 1), F.lit(0).cast("long"))
 
     others = F.when(parts > 1, F.sequence(F.lit(2).cast("long"), parts)).otherwise(F.array().cast("array<long>"))
     return F.aggregate(others, draw(unit_hash(doc_id, digest, seed=seed)), lambda a, k: a + draw(unit_hash(doc_id, digest, k, seed=seed)))
