@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..loops import cut
+from . import small
 
 #: Rank of each confidence; ambiguous and unresolved edges rank last.
 RANK = {"formal": 4, "resolved": 3, "inferred": 2, "textual": 1, "ambiguous": 0, "unresolved": 0}
@@ -25,12 +26,17 @@ def live(edges: DataFrame) -> DataFrame:
     return edges.where(~F.coalesce("ruled_out", F.lit(False)))
 
 
-def callers(edges: DataFrame, symbols: DataFrame, cap: int | None = None) -> DataFrame:
-    """Each symbol's callers, ambiguous ones last; ``cap`` keeps the first of each symbol, with counts taken before."""
+def callers(edges: DataFrame, cap: int | None = None) -> DataFrame:
+    """Each symbol's callers, ambiguous ones last; ``cap`` keeps the first of each symbol, with counts taken before.
+
+    Counts are an aggregate of their own, so that the window needs no more than the first ``cap`` rows of a symbol from each task.
+    """
     out = live(edges).select("dst", "src", "src_path", "line", "confidence")
     w = Window.partitionBy("dst").orderBy(F.col("confidence") == "ambiguous", "src_path", "line", "src", "confidence")
-    out = out.withColumn("place", F.row_number().over(w)).withColumn("n_edges", F.count("*").over(Window.partitionBy("dst")))
-    return out.where(F.col("place") <= cap) if cap else out
+    first = out.withColumn("place", F.row_number().over(w))
+    if cap:
+        first = first.where(F.col("place") <= cap)
+    return first.join(out.groupBy("dst").agg(F.count("*").alias("n_edges")), "dst")
 
 
 def confidence_breakdown(edges: DataFrame, key: str = "dst") -> DataFrame:
@@ -83,19 +89,23 @@ def shortest_path_lengths(edges: DataFrame, start: DataFrame, max_hops: int = 6)
     return seen
 
 
-def coreness(edges: DataFrame, confirmed: bool = True, max_rounds: int = 200) -> DataFrame:
+def coreness(edges: DataFrame, confirmed: bool = True, at_once: int = small.EDGES) -> DataFrame:
     """(node, coreness) of the undirected graph without loops.
 
     Each node takes the h-index of its neighbours' values until nothing changes, which gives the core numbers (Lü et
-    al. 2016). With ``confirmed``, edges of rank 0 don't count; an unknown confidence does.
+    al. 2016), however many rounds that takes. A graph of at most ``at_once`` edges is peeled in one task instead, since long paths
+    need many rounds. With ``confirmed``, edges of rank 0 don't count; an unknown confidence does.
     """
     use = live(edges).where("src != dst")
     if confirmed:
         use = use.where(F.coalesce(rank_of(F.col("confidence")), F.lit(1)) > 0)
     pair = use.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    pair = cut(pair)
+    if pair.count() <= at_once:
+        return small.whole(pair, small.core_numbers, "node string, coreness long")
     both = cut(pair.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pair.select(F.col("b").alias("u"), F.col("a").alias("v"))))
     values = cut(both.groupBy("u").agg(F.count("*").alias("h")))
-    for _ in range(max_rounds):
+    while True:
         # the h-index from counts of each value, so that a hub's neighbours needn't meet in one group
         told = both.join(values.select(F.col("u").alias("v"), F.col("h").alias("hv")), "v").join(values, "u")
         counts = told.select("u", F.least("hv", "h").alias("hv")).groupBy("u", "hv").agg(F.count("*").alias("n"))
@@ -128,18 +138,23 @@ def hubs(counts: DataFrame, degree_callers: int = 5, top_percent: float = 5.0, b
     return out.select("qn", "caller_count", "coreness", F.when(degree, "degree").when(bridge, "bridge").alias("hub_kind"))
 
 
-def cycles(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def cycles(edges: DataFrame, at_once: int = small.EDGES) -> DataFrame:
     """(node): nodes on a cycle of verified edges, loops included.
 
     Nodes without predecessors or successors are trimmed first; of the rest, a node is on a cycle if it reaches itself. Strong
-    components come from forward colouring: the least label that reaches a node, then backward from its own.
+    components come from forward colouring: the least label that reaches a node, then backward from its own. Each round removes a
+    component at least, and rounds go on until no edge is left. What is left of at most ``at_once`` edges is done in one task.
     """
     use = live(edges).where(F.col("confidence").isin(*VERIFIED)).select("src", "dst").distinct()
     loops = use.where("src = dst").select(F.col("src").alias("node"))
     rest = cut(use.where("src != dst"))
     found = None
-    for _ in range(max_rounds):
+    while True:
         n = rest.count()
+        if 0 < n <= at_once:
+            own = small.whole(rest, small.cyclic_nodes, "node string")
+            found = own if found is None else found.unionByName(own)
+            break
         while n:  # trim
             kept = cut(rest.join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
             m = kept.count()
@@ -212,9 +227,13 @@ def frontier(imports: DataFrame, calls: DataFrame, explored: DataFrame) -> DataF
 def co_changes(commits: DataFrame, least: int = 3, top: int = 5) -> DataFrame:
     """For each file the ``top`` files that changed in the same commits at least ``least`` times, with the last day."""
     c = commits.select("commit_id", "day", "path").distinct()
-    pairs = c.join(c.select("commit_id", F.col("path").alias("other")), "commit_id").where("path != other").groupBy("path", "other").agg(F.count("*").alias("n"), F.max("day").alias("last"))
+    # a file with fewer commits than that has no partner; ordered halves are joined, each pair of a commit once
+    often = c.groupBy("path").agg(F.count_distinct("commit_id").alias("n")).where(F.col("n") >= least).select("path")
+    c = c.join(often, "path", "left_semi")
+    half = c.join(c.select("commit_id", F.col("path").alias("other")), "commit_id").where("path < other").groupBy("path", "other").agg(F.count("*").alias("n"), F.max("day").alias("last")).where(F.col("n") >= least)
+    pairs = half.unionByName(half.select(F.col("other").alias("path"), F.col("path").alias("other"), "n", "last"))
     w = Window.partitionBy("path").orderBy(F.desc("n"), "other")
-    return pairs.where(F.col("n") >= least).withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+    return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
 
 
 def etag(rows: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:

@@ -18,7 +18,7 @@ CALLERS = """
     WITH e AS (SELECT dst, src, src_path, line, confidence, row_number() OVER (PARTITION BY dst ORDER BY confidence = 'ambiguous', src_path, line, src, confidence) AS place,
         count(*) OVER (PARTITION BY dst) AS n_edges FROM edges WHERE NOT ruled_out) SELECT * FROM e WHERE place <= 25""")
 def g01_callers(spark, sf):
-    return G.callers(rel(spark, sf, "edges"), rel(spark, sf, "symbols"), cap=25)
+    return G.callers(rel(spark, sf, "edges"), cap=25)
 
 
 @query("g02_callees", """

@@ -45,6 +45,20 @@ def test_query_matches_sql(spark, duck, name):
     assert rows == sorted(tuple(plain(r[i]) for i in at) for r in want.fetchall())
 
 
+@pytest.mark.parametrize("at_once", [0, 1000])
+def test_coreness_of_a_path(spark, at_once):
+    rows = [(f"n{i:04d}", f"n{i + 1:04d}", "textual", False) for i in range(1000 if at_once else 25)]
+    got = graph.coreness(spark.createDataFrame(rows, "src string, dst string, confidence string, ruled_out boolean"), at_once=at_once).collect()
+    assert len(got) == len(rows) + 1 and {r["coreness"] for r in got} == {1}
+
+
+@pytest.mark.parametrize("at_once,n", [(0, 4), (1000, 70)])
+def test_chain_of_cycles(spark, at_once, n):
+    rows = [e for i in range(n) for e in ((f"a{i}", f"b{i}"), (f"b{i}", f"a{i}"), (f"b{i}", f"x{i}"), (f"x{i}", f"a{i + 1}"))]
+    edges = spark.createDataFrame([(a, b, "formal", False) for a, b in rows], "src string, dst string, confidence string, ruled_out boolean")
+    assert {r[0] for r in graph.cycles(edges, at_once=at_once).collect()} == {f"{x}{i}" for x in "ab" for i in range(n)}
+
+
 def test_coreness_by_peeling(spark):
     pairs = [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 5), (5, 3), (3, 5), (6, 6), (5, 2), (1, 7)]
     edges = spark.createDataFrame([(str(a), str(b), "textual", False) for a, b in pairs] + [("8", "9", "ambiguous", False)], "src string, dst string, confidence string, ruled_out boolean")
@@ -61,12 +75,14 @@ def test_coreness_by_peeling(spark):
         for u in near.pop(v):
             near[u].discard(v)
     assert {r["node"]: r["coreness"] for r in graph.coreness(edges).collect()} == want
+    assert {r["node"]: r["coreness"] for r in graph.coreness(edges, at_once=0).collect()} == want
 
 
 def test_cycles(spark):
     pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("f", "f"), ("g", "h"), ("h", "g"), ("d", "g")]
     edges = spark.createDataFrame([(a, b, "formal", False) for a, b in pairs], "src string, dst string, confidence string, ruled_out boolean")
-    assert sorted(r[0] for r in graph.cycles(edges).collect()) == ["a", "b", "c", "f", "g", "h"]
+    for at_once in (0, 1000):
+        assert sorted(r[0] for r in graph.cycles(edges, at_once=at_once).collect()) == ["a", "b", "c", "f", "g", "h"]
 
 
 def test_ambiguous_edges_are_listed_but_not_followed(spark):
