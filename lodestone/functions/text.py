@@ -9,8 +9,14 @@ from pyspark.sql import functions as F
 CHURN_WEIGHT, CORENESS_WEIGHT, NOISE_PENALTY = 0.15, 0.06, 0.6
 TEST_PATH = r"(?:^|/)(?:tests?/|test_)|_test\.|\.test\.|\.spec\.|_spec\."
 NOISE_PATH = TEST_PATH + r"|(?:^|/)(?:generated|vendor|dist|node_modules|build|examples?|fixtures?|mocks?)/|\.generated\.|\.min\."
-#: Languages by file extension.
-LANGUAGES = {"py": "python", "rs": "rust", "go": "go", "java": "java", "js": "javascript", "ts": "typescript", "md": "markdown", "sql": "sql"}
+#: File extensions of each language (fixed values).
+EXTENSIONS = {
+    "python": ["py"], "rust": ["rs"], "go": ["go"], "javascript": ["js", "jsx", "mjs", "cjs"], "typescript": ["ts", "tsx"], "java": ["java"],
+    "ruby": ["rb"], "php": ["php"], "kotlin": ["kt", "kts"], "swift": ["swift"], "csharp": ["cs"], "shell": ["sh", "bash"], "c": ["c"],
+    "cpp": ["cc", "cpp", "cxx", "h", "hpp", "hxx"], "r": ["r", "R"], "scala": ["scala", "sc"], "dart": ["dart"], "lua": ["lua"], "elixir": ["ex", "exs"],
+    "haskell": ["hs"], "ocaml": ["ml"], "zig": ["zig"], "powershell": ["ps1", "psm1", "psd1"], "groovy": ["groovy", "gvy", "gy", "gsh"], "markdown": ["md"], "sql": ["sql"],
+}
+LANGUAGES = {e: language for language, extensions in EXTENSIONS.items() for e in extensions}
 #: A path in prose: extensions are fixed values.
 PATH_REF = r"\.?[A-Za-z0-9_][A-Za-z0-9_/.-]*\.(?:rs|py|ts|tsx|js|jsx|go|rb|java|kt|swift|toml|json|ya?ml|sh|md)(?![A-Za-z0-9_])"
 

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed to the shared folder; a local folder is set only where the session names none."""
-    spark = df.sparkSession
-    local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        if not local:
+def shared(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``. Only a local session that names none gets one of its own."""
+    base, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not base and not context.getCheckpointDir():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
+    return (base or context.getCheckpointDir()).rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed to the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint()

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("graph", "analytics", "risk", "journal", "text", "search", "resolve", "streaming")
+FAMILIES = ("graph", "analytics", "risk", "journal", "text", "search", "resolve", "streaming", "sources")
 
 
 def load() -> None:

@@ -115,10 +115,17 @@ def a02_capped_read(spark, sf):
     return docs(spark, sf).select("path", n.alias("bytes"), F.when(n > 8 << 20, "too_large").when(~F.is_valid_utf8("text"), "not_utf8").alias("skip_reason"))
 
 
-@query("a04_language", "SELECT qn, CASE language WHEN 'python' THEN 'python' WHEN 'rust' THEN 'rust' WHEN 'go' THEN 'go' END AS lang FROM symbols")
+_BY_EXTENSION = " ".join(f"WHEN '{e}' THEN '{language}'" for language, extensions in T.EXTENSIONS.items() for e in extensions)
+
+
+@query("a04_language", f"""
+    WITH e AS (SELECT unnest({[*T.LANGUAGES, 'txt', 'PY']}) AS ext), p AS (SELECT 'src/a.' || p_partkey || '.' || ext AS path, ext FROM part, e UNION ALL SELECT 'README' || p_partkey, '' FROM part)
+    SELECT path, CASE ext {_BY_EXTENSION} END AS lang FROM p""")
 def a04_language(spark, sf):
-    ext = F.when(F.col("language") == "python", "a.py").when(F.col("language") == "rust", "b/c.rs").when(F.col("language") == "go", "d.x.go").otherwise("README")
-    return rel(spark, sf, "symbols").select("qn", T.language_of(ext).alias("lang"))
+    p = rel(spark, sf, "part")
+    paths = p.select("p_partkey", F.explode(F.array(*map(F.lit, [*T.LANGUAGES, "txt", "PY"]))).alias("ext")).select(F.concat(F.lit("src/a."), "p_partkey", F.lit("."), "ext").alias("path"))
+    paths = paths.unionByName(p.select(F.concat(F.lit("README"), "p_partkey").alias("path")))
+    return paths.select("path", T.language_of(F.col("path")).alias("lang"))
 
 
 @query("a07_git_log", "SELECT user_id AS log_id, 'u' || user_id AS author, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type || '.py' AS path, count(*) AS n FROM events GROUP BY ALL")

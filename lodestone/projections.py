@@ -41,6 +41,18 @@ VIEWS = {
     "metrics": """
         SELECT o_custkey AS symbol, CAST(o_orderdate AS DATE) AS snapshot_at, max(o_totalprice) AS callers, count(*) AS coreness, max(o_orderstatus) AS hub
         FROM orders GROUP BY o_custkey, CAST(o_orderdate AS DATE)""",
+    # source texts in six languages, a file for each row of the catalogue
+    "files": """
+        SELECT 'src/' || CASE WHEN k % 3 = 0 THEN 'pkg/' ELSE '' END || CASE WHEN k % 7 = 0 THEN 'tests/' ELSE '' END || 'm' || n || '.' || CASE size % 6 WHEN 0 THEN 'py' WHEN 1 THEN 'rs' WHEN 2 THEN 'go' WHEN 3 THEN 'java' WHEN 4 THEN 'ts' ELSE 'sql' END AS path,
+            CASE size % 6 WHEN 0 THEN 'python' WHEN 1 THEN 'rust' WHEN 2 THEN 'go' WHEN 3 THEN 'java' WHEN 4 THEN 'typescript' ELSE 'sql' END AS language, k, n,
+            replace(CASE size % 6
+                WHEN 0 THEN 'import os~from pkg.m' || k || ' import run~~class Box' || n || '(Base' || k || ', Shape):~    def test_' || k || '(self, x):~        if x and os.path(x):~            raise ValueError(x)~        self.total = run(x)~    def __call__(self):~        return step_' || k || '(self.total == 1)~    def __call__(self):~        return 0'
+                WHEN 1 THEN 'use pkg::m' || k || '::run;~~impl Shape for Box' || n || ' {}~pub fn main() {~    if ready() && open_' || k || '(1) { run(2); }~}~fn test_' || k || '() { match step() { _ => done() } }'
+                WHEN 2 THEN 'package m' || n || '~import "pkg/m' || k || '"~~type Box' || n || ' struct {}~func Test' || k || '(x int) int {~    for x > 0 || done(x) { x = m.Step(x) }~    return x~}~func (b Box) init() { run() }'
+                WHEN 3 THEN 'import pkg.m' || k || '.Run;~~public class Box' || n || 'Test extends Base' || k || ' implements Shape, Named {~    public static void main(String[] a) {~        if (a.size() > 0) { throw new IllegalStateException(a); }~        this.total = Run.go(a);~    }~}'
+                WHEN 4 THEN 'import { run } from "./m' || k || '";~~export class Box' || n || ' extends Base' || k || ' implements Shape {~}~export function main(x: number) {~  while (x > 0) { x = run(x); }~  throw new RangeError("x");~}'
+                ELSE 'CREATE TABLE t' || k || ' (x INT);~CREATE VIEW v' || n || ' AS SELECT * FROM t' || k || ' JOIN u' || n || ' USING (x);~CREATE PROCEDURE p' || k || ' ();~CALL p' || (k % 5) || '();' END, '~', chr(10)) AS text
+        FROM (SELECT p_partkey AS n, p_partkey % 50 AS k, p_size AS size FROM part)""",
     "doc_lines": """SELECT doc_id, coalesce(text, '') AS text, lang, source FROM documents""",
 }
 
@@ -61,7 +73,7 @@ def rel(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table, or a projection."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = VIEWS[name]
+    sql = VIEWS[name].replace("{", "{{").replace("}", "}}")
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b{t}\b", sql)}
     for t in used:
         sql = re.sub(rf"(FROM|,)(\s+){t}\b", rf"\1\2{{{t}}}", sql)

@@ -1,0 +1 @@
+"""Source texts and report files as DataFrames."""
