@@ -104,3 +104,14 @@ def wrap_untrusted(text: Column, source: Column) -> Column:
     tag = "untrusted-external-content"
     clean = F.regexp_replace(text, rf"(?i)<(/?{tag}\b[^>]*)>", "‹$1›")
     return F.concat(F.lit(f'<{tag} source="'), F.replace(source, F.lit('"'), F.lit("'")), F.lit('">\n'), clean, F.lit(f"\n</{tag}>"))
+
+
+#: Characters of a text that the scanning tool reads (a fixed value of the tool).
+SCAN_CHARS = 500_000
+
+
+def scan_text(text: Column, source: Column) -> Column:
+    """n_chars, whether credentials were found, injection labels, hidden labels and the wrapped text of the first ``SCAN_CHARS`` characters."""
+    whole = F.coalesce(text, F.lit(""))
+    read = F.left(whole, F.lit(SCAN_CHARS))
+    return F.struct(F.length(whole).alias("n_chars"), has_credentials(read).alias("has_credentials"), injections(read).alias("injections"), hidden_injections(read).alias("hidden"), wrap_untrusted(read, source).alias("wrapped"))

@@ -134,3 +134,40 @@ def notes_for(refs: DataFrame, notes: DataFrame, top: int = 5) -> DataFrame:
     """Each path's newest notes."""
     w = Window.partitionBy("path").orderBy(F.desc("updated_at"), "note_id")
     return refs.join(notes, "note_id").withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).select("path", "place", "note_id")
+
+
+def hmac_sha256(key: bytes, message: Column) -> Column:
+    """The message authentication code of a text as lower-case hexadecimal digits (RFC 2104), without leaving the JVM."""
+    import hashlib
+
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (bytes(b ^ pad for b in block) for pad in (0x36, 0x5C))
+    first = F.unhex(F.sha2(F.concat(F.lit(bytearray(inner)), F.encode(message, "utf-8")), 256))
+    return F.sha2(F.concat(F.lit(bytearray(outer)), first), 256)
+
+
+def signed(rows: DataFrame, key: bytes, fields: list[str]) -> DataFrame:
+    """``rows`` with a signature over their fields, joined by U+0001; a null field counts as empty."""
+    return rows.withColumn("signature", hmac_sha256(key, F.concat_ws("\u0001", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])))
+
+
+def signature_holds(key: bytes, fields: list[str]) -> Column:
+    """The row's signature is that of its fields."""
+    return F.col("signature").eqNullSafe(hmac_sha256(key, F.concat_ws("\u0001", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])))
+
+
+def note_integrity(notes: DataFrame, key: bytes, suspicious: Column) -> DataFrame:
+    """Notes (topic, text, mac) with integrity (ok, mismatch, or unverified without a mac), and quarantined where the text looks like an injection."""
+    mac = hmac_sha256(key, F.concat_ws("\u0001", "topic", F.coalesce("text", F.lit(""))))
+    return notes.withColumn("integrity", F.when(F.col("mac").isNull(), "unverified").when(F.col("mac") == mac, "ok").otherwise("mismatch")).withColumn("quarantined", F.coalesce(suspicious, F.lit(False)))
+
+
+def snapshot_id(components: DataFrame) -> DataFrame:
+    """(snapshot, id, freshness) of component digests (snapshot, name, digest, current): the digest of all digests by name.
+
+    A snapshot is fresh if each component is as it is now, drifted if one differs, unknown if one has no current digest. Components are a short list.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("name", "digest")))
+    joined = F.array_join(F.transform(parts, lambda x: F.concat_ws("=", x["name"], x["digest"])), ";")
+    state = F.when(F.bool_or(F.col("current").isNull()), "unknown").when(F.bool_or(F.col("current") != F.col("digest")), "drifted").otherwise("fresh")
+    return components.groupBy("snapshot").agg(F.sha2(joined, 256).alias("id"), state.alias("freshness"))

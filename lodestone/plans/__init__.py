@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("graph", "analytics", "risk", "journal", "text", "search", "resolve", "streaming", "sources")
+FAMILIES = ("graph", "analytics", "risk", "journal", "text", "search", "resolve", "streaming", "sources", "locate", "lineage", "edits")
 
 
 def load() -> None:

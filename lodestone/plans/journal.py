@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.safety import injections
 from ..operators import journal as J
 from ..projections import rel
 from ..registry import query
@@ -166,3 +167,36 @@ def t17_note_staleness(spark, sf):
 def t18_notes_for_path(spark, sf):
     n = rel(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("note_id"), F.length("text").alias("updated_at"))
     return J.notes_for(refs(spark, sf), n)
+
+
+_KEY = b"a key of the tests"
+_PADS = {name: bytes(b ^ pad for b in _KEY.ljust(64, b"\0")).hex() for name, pad in (("inner", 0x36), ("outer", 0x5C))}
+
+
+def _mac(message: str) -> str:
+    return f"sha256(unhex('{_PADS['outer']}') || unhex(sha256(unhex('{_PADS['inner']}') || encode({message}))))"
+
+
+@query("t14_signatures", f"SELECT event_id, {_mac("user_id || chr(1) || event_type")} AS signature, event_id % 5 <> 0 AS holds FROM events")
+def t14_signatures(spark, sf):
+    """A fifth of the rows is changed after it was signed."""
+    e = rel(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("user"), F.col("event_type").alias("kind"))
+    s = J.signed(e, _KEY, ["user", "kind"])
+    return s.withColumn("kind", F.when(F.col("event_id") % 5 == 0, F.concat("kind", F.lit("!"))).otherwise(F.col("kind"))).withColumn("holds", J.signature_holds(_KEY, ["user", "kind"])).select("event_id", "signature", "holds")
+
+
+@query("t16_note_integrity", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'unverified' WHEN 1 THEN 'mismatch' ELSE 'ok' END AS integrity, regexp_matches(coalesce(text, ''), '(?i)ignore\\s+(all\\s+)?previous\\s+instructions') AS quarantined FROM documents")
+def t16_note_integrity(spark, sf):
+    d = rel(spark, sf, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("topic"), "text")
+    mac = J.hmac_sha256(_KEY, F.concat_ws("\u0001", "topic", F.coalesce("text", F.lit(""))))
+    d = d.withColumn("mac", F.when(F.col("doc_id") % 3 == 1, F.reverse(mac)).when(F.col("doc_id") % 3 == 2, mac))
+    return J.note_integrity(d, _KEY, F.array_contains(injections(F.coalesce("text", F.lit(""))), "IGNORE_PRIOR_INSTRUCTIONS")).select("doc_id", "integrity", "quarantined")
+
+
+@query("t10_snapshots", """
+    WITH c AS (SELECT l_orderkey AS snapshot, 'c' || l_linenumber AS name, md5(l_suppkey::VARCHAR) AS digest, CASE WHEN l_returnflag = 'N' AND l_linenumber = 3 THEN NULL WHEN l_returnflag = 'R' AND l_linenumber = 2 THEN md5('other') ELSE md5(l_suppkey::VARCHAR) END AS current FROM lineitem)
+    SELECT snapshot, sha256(string_agg(name || '=' || digest, ';' ORDER BY name, digest)) AS id, CASE WHEN bool_or(current IS NULL) THEN 'unknown' WHEN bool_or(current <> digest) THEN 'drifted' ELSE 'fresh' END AS freshness FROM c GROUP BY snapshot""")
+def t10_snapshots(spark, sf):
+    d = F.md5(F.col("l_suppkey").cast("string"))
+    current = F.when((F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 3), F.lit(None)).when((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 2), F.md5(F.lit("other"))).otherwise(d)
+    return J.snapshot_id(rel(spark, sf, "lineitem").select(F.col("l_orderkey").alias("snapshot"), F.concat(F.lit("c"), "l_linenumber").alias("name"), d.alias("digest"), current.alias("current")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import risk as R
+from ..operators.edits import kinds_mismatch
 from ..projections import rel
 from ..registry import query
 from .analytics import DEAD, COVERED, FACTS, RARE, dead, facts, lines
@@ -66,9 +67,14 @@ def r09_change_kind(spark, sf):
     return s.withColumns({"old": o, "new": n}).select("qn", R.change_kind().alias("kind"))
 
 
-@query("r10_intent_mismatch", "SELECT event_id, event_type IS DISTINCT FROM (CASE WHEN value > 20 THEN 'purchase' ELSE 'click' END) AS mismatch FROM events")
+@query("r10_intent_mismatch", """
+    WITH c AS (SELECT qn, path, CASE floor(price)::INT % 4 WHEN 0 THEN NULL WHEN 1 THEN 'body' WHEN 2 THEN 'add' ELSE 'test_only' END AS declared FROM symbols)
+    SELECT qn, declared IS NOT NULL AND declared <> CASE WHEN regexp_matches(path, '(^|/)tests?/') THEN 'test_only' ELSE 'body' END AS mismatch FROM c""")
 def r10_intent_mismatch(spark, sf):
-    return rel(spark, sf, "events").select("event_id", (~F.col("event_type").eqNullSafe(F.when(F.col("value") > 20, "purchase").otherwise("click"))).alias("mismatch"))
+    """The declared kind against the one that is observed in the texts before and after."""
+    declared = F.element_at(F.array(F.lit(None), F.lit("body"), F.lit("add"), F.lit("test_only")), F.floor("price").cast("int") % 4 + 1)
+    s = rel(spark, sf, "symbols").withColumns({"old": F.concat("signature", F.lit(" { 1 }")), "new": F.concat("signature", F.lit(" { 2 }"))})
+    return s.select("qn", kinds_mismatch(declared, R.change_kind()).alias("mismatch"))
 
 
 VECTOR = """v AS (SELECT qn, CASE WHEN caller_count > 10 THEN 2 WHEN caller_count > 3 THEN 1 ELSE 0 END AS a, CASE WHEN is_entry THEN 2 ELSE 0 END AS b, CASE WHEN is_test THEN 1 ELSE 0 END AS c FROM facts)"""

@@ -118,7 +118,7 @@ def a01_walk(spark, sf):
 
 
 @query("a05_file_index", """
-    WITH i AS (SELECT o_orderkey AS path, md5(o_orderstatus) AS hash FROM orders), c AS (SELECT l_orderkey + 1 AS path, md5(l_linestatus || l_linenumber) AS hash, l_linenumber AS seq FROM lineitem WHERE l_returnflag = 'R'), last AS (SELECT path, max_by(hash, seq) AS hash FROM c GROUP BY path)
+    WITH i AS (SELECT o_orderkey AS path, md5(o_orderstatus) AS hash FROM orders), c AS (SELECT l_orderkey + 1 AS path, md5(l_linestatus || l_linenumber) AS hash, l_linenumber AS seq FROM lineitem WHERE l_returnflag = 'R'), last AS (SELECT path, max_by(hash, struct_pack(a := seq, b := hash)) AS hash FROM c GROUP BY path)
     SELECT * FROM i WHERE path NOT IN (SELECT path FROM last) UNION ALL SELECT * FROM last""")
 def a05_file_index(spark, sf):
     index = rel(spark, sf, "orders").select(F.col("o_orderkey").alias("path"), F.md5("o_orderstatus").alias("hash"))

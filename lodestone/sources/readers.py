@@ -25,8 +25,8 @@ def walk(spark: SparkSession, root: str, ignored: tuple[str, ...] = IGNORED) ->
 
 
 def upserted(index: DataFrame, changes: DataFrame) -> DataFrame:
-    """The index with each changed path's last row (by seq) in place of its own. Both have path, hash; changes have seq too."""
-    last = changes.groupBy("path").agg(F.max_by("hash", "seq").alias("hash"))
+    """The index with each changed path's last row (by seq, then hash) in place of its own. Both have path, hash; changes have seq too."""
+    last = changes.groupBy("path").agg(F.max_by("hash", F.struct("seq", "hash")).alias("hash"))
     return index.select("path", "hash").join(last, "path", "left_anti").unionByName(last)
 
 
