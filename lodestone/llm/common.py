@@ -40,18 +40,37 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Folders that :func:`materialize` has written and nobody has removed.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage, survives the loss of executors, and freezes
-    generated row ids.
+    generated row ids. The folder stays until :func:`clean` is told to remove it, since results read it as they run.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> list[str]:
+    """Folders that were materialized since the last call."""
+    out = _written[:]
+    _written.clear()
+    return out
+
+
+def clean(spark: SparkSession, folders: list[str]) -> None:
+    """Removes folders of :func:`written`, once all results that read them have been written themselves."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sized(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if ``rows * row_bytes`` is within ``limit``; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
@@ -109,11 +128,18 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     if conf.get(key) == "10000":
         conf.set(key, str(ARROW_ROWS))
 
+    names = df.columns  # Spark looks the columns up by name there, and can't find all names; so they go under numbers
+
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        yield from run(pa.RecordBatch.from_arrays(b.columns, names) for b in batches)
         give_back()
 
-    return df.mapInArrow(bounded, schema)
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(bounded, schema)
+
+
+def columns(df: DataFrame, *without: str) -> list[Column]:
+    """The columns of ``df``, but for those ``without``; names may hold any character."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in without]
 
 
 def fields(df: DataFrame, added: str = "", without: tuple[str, ...] = ()) -> StructType:

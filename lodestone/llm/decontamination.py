@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, map_batches, materialize, sized, table, with_row_id
+from .common import columns, hold, map_batches, materialize, sized, table, with_row_id
 
 WINDOW, SHINGLE = 10, 5
 #: Bits of a hash that address the bit map: 2 MB, whatever the benchmark's size.
@@ -210,7 +210,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = materialize(with_row_id(docs, "__row"), "rows")
     found = contamination(rows.select(F.col("__row").alias("doc_id"), "text"), benchmark)
     gone = materialize(found.where("n_hit > 0").select(F.col("doc_id").alias("__row")), "gone")
-    return rows.join(sized(gone, gone.count(), 16), "__row", "left_anti").select(*docs.columns)
+    return rows.join(sized(gone, gone.count(), 16), "__row", "left_anti").select(*columns(docs))
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, hold, id_crc, map_batches, table
+from .common import columns, fields, hold, id_crc, map_batches, table
 
 #: Expected characters of the sample of each language, and EM rounds.
 SAMPLE_CHARS, ROUNDS = 600_000, 3
 #: Characters (the mark included) of words that are scored together, and of the longest words that train.
 SHORT, TRAIN_LONGEST, MARK = 32, 200, "▁"
 #: Words (of up to ``SHORT`` characters) that a worker remembers at most; beyond that it starts anew. Only speed depends on it.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 200_000
 #: Words that are scored together; characters of texts that are split together; words of a text that are looked up at once.
 WORDS_AT_ONCE, CHARS_AT_ONCE, RUN = 4096, 1 << 19, 50_000
 UNKNOWN = 1e-6
@@ -336,8 +336,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     languages. Ties go to the language that sorts first. Ids may be null or repeat; an empty table gives no rows.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
-    rows = docs.select(*keep, "text")
+    rows = docs.select(*columns(docs, "text", "lang_pred", "score"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = known.value

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, hold, map_batches, materialize, shared_dir, sized, table
+from .common import columns, fields, hold, map_batches, materialize, shared_dir, sized, table
 from .token_output import _fs, default_tokenizer, encoder
 
 #: Ranges that pairs are dealt in, and ids of the vocabulary (rounded up; a pair of ids is a 32-bit number).
@@ -57,7 +57,7 @@ def _counted(keys: list[np.ndarray], marks: list[np.ndarray]) -> tuple[np.ndarra
 def encoded(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """``docs`` with ids (little-endian unsigned 32-bit integers) in place of text, written once for both passes."""
     tokenizer = tokenizer or default_tokenizer()
-    rows = docs.select(*[c for c in docs.columns if c not in ("text", "ids")], "text")
+    rows = docs.select(*columns(docs, "text", "ids"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
@@ -275,7 +275,7 @@ def score(docs: DataFrame, place: str, resident: int = RESIDENT) -> DataFrame:
     A document without ids (a null or empty text) has losses and score 0. A null or repeated doc_id is fine; an empty table gives no rows.
     """
     new = ("n_tokens", "target_loss", "background_loss", "score")
-    rows = docs.select(*[c for c in docs.columns if c != "ids" and c not in new], "ids")
+    rows = docs.select(*columns(docs, "ids", *new), "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(place, resident)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sized, table, unit_hash
+from .common import columns, materialize, sized, table, unit_hash
 
 SEED = 17
 EPOCHS = 1.0
@@ -106,11 +106,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float
     each ``PART`` copies or fewer, and copies come in runs, so a rate of any size needs bounded memory.
     """
     spark = docs.sparkSession
-    columns = [c for c in docs.columns if c not in ("copy", "rate", "shuffle_key")]
+    kept = columns(docs, "copy", "rate", "shuffle_key")
     table_ = rates(docs, weights, epochs, column).withColumn("__parts", F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)))
     table_ = materialize(table_.withColumn("__cdf", F.when(F.col("rate") > 0, poisson_cdf(F.col("rate") / F.col("__parts")))), "rates")
     table_ = table_.select(F.col("source").alias("__source"), F.col("rate"), "__parts", "__cdf")
-    met = docs.select(*columns).join(sized(table_, table_.count(), 8 * ENTRIES + 100), F.col(column).eqNullSafe(F.col("__source")))
+    met = docs.select(*kept).join(sized(table_, table_.count(), 8 * ENTRIES + 100), F.col(column).eqNullSafe(F.col("__source")))
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     met = met.withColumn("__text", digest)
     met = met.withColumn("__n", drawn(F.col("__parts"), F.col("__cdf"), "doc_id", F.col("__text"), seed)).where("__n > 0")
@@ -119,7 +119,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float
     copies = runs.withColumn("copy", F.explode(F.expr(f"sequence(cast(__from as int), cast(least(__n, __from + {RUN - 1}) as int))")))
     copies = copies.withColumn("shuffle_key", unit_hash("doc_id", "__text", "copy", seed=seed + 1))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return copies.select(*columns, "copy", "rate", "shuffle_key").repartition(n, "shuffle_key").sortWithinPartitions("shuffle_key")
+    return copies.select(*kept, "copy", "rate", "shuffle_key").repartition(n, "shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

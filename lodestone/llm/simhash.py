@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, hold, map_batches, materialize, sized, table, with_row_id
+from .common import columns, fields, hold, map_batches, materialize, sized, table, with_row_id
 from .components import connected_components
 
 SEED = 42
@@ -469,7 +469,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = STAGE_WIDTH, count: int =
     best = materialize(classes.groupBy("label").agg(F.min("first").alias("keep")), "keep")
     keep = materialize(classes.join(best, "label").select("digest", F.col("keep.__row").alias("keep")), "keepers")
     gone = materialize(prints.join(keep, "digest").where("__row != keep").select("__row"), "gone")
-    return rows.join(sized(gone, gone.count(), 16), "__row", "left_anti").select(*docs.columns)
+    return rows.join(sized(gone, gone.count(), 16), "__row", "left_anti").select(*columns(docs))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

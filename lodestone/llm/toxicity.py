@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, hold, id_crc, map_batches, sized, table
+from .common import columns, fields, hold, id_crc, map_batches, sized, table
 
 #: Labelled documents that the classifier is fitted on, about; all of them where there are fewer.
 SAMPLE_DOCS = 9000
@@ -208,7 +208,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts have one empty window. Ids may be null or repeat; an empty table gives no rows.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[c for c in docs.columns if c not in ("text", "score")], "text")
+    rows = docs.select(*columns(docs, "text", "score"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _start()

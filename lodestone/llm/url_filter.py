@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sized, table
+from .common import columns, materialize, sized, table
 
 #: (rule, verdict): a host suffix, a slash, and a path prefix.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -220,8 +220,8 @@ def judge(pages: DataFrame, column: str = "url", rules: tuple[tuple[str, str], .
     (one half without any). Columns of ``pages`` with the added names are replaced; an empty table gives no rows.
     """
     model, rates, share = fit(pages, column, rules)
-    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "block_score")]
-    inner = with_features(with_rule(with_parts(pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__page"), F.col(column).alias("__given")), "__given"), rules))
+    keep = columns(pages, "host", "path", "rule", "verdict", "block_score")
+    inner = with_features(with_rule(with_parts(pages.select(F.struct(*keep).alias("__page"), F.col(column).alias("__given")), "__given"), rules))
     scored = with_score(inner, model, rates, share)
     verdict = F.coalesce("rule_verdict", F.when(F.col("block_score") >= threshold, "block").otherwise("allow"))
     return scored.select("__page.*", "host", "path", "rule", verdict.alias("verdict"), F.round("block_score", 6).alias("block_score"))
