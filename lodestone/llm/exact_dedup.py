@@ -6,6 +6,9 @@ an incoming batch are grouped among themselves first; then each distinct one is
 held against its bucket's filter. Those that the filter rules out are new. The others
 join the snapshot's exact bucket, and the two texts are compared byte by byte.
 
+A snapshot is written once (:func:`write_snapshot`): digests, groups, filters, and last a manifest, without which it
+isn't complete. Later batches open it (:func:`open_snapshot`) and build nothing anew.
+
 Digests and filters are dealt by bucket, a range of hash values, so no bucket is
 hot however often a text repeats. The text itself is only moved for the byte check,
 for one row on either side.
@@ -13,14 +16,16 @@ for one row on either side.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sized, table, with_row_id
+from .common import materialize, shared_dir, sized, table, with_row_id
 
 #: Digests of a bucket, about, and the least number of buckets.
 BUCKET_KEYS, LEAST_BUCKETS = 1 << 17, 64
@@ -107,12 +112,57 @@ def normalized(text: str = "text") -> Column:
 
 
 def digests(docs: DataFrame, old: bool) -> DataFrame:
-    """(__row, doc_id, text_sha256), written once: from here on no text moves but for byte checks.
+    """(__row, doc_id, text_sha256); from here on no text moves but for byte checks.
 
-    Row numbers are unique over both tables, and those of the snapshot are the smaller ones.
+    Row numbers are unique over both tables, and those of the snapshot are the smaller ones. They hold once the rows are written.
     """
     rows = with_row_id(docs.select("doc_id", F.sha2(normalized().cast("binary"), 256).alias("text_sha256")))
-    return materialize(rows.withColumn("__row", F.col("__row") - (1 << 62)) if old else rows, "digests")
+    return rows.withColumn("__row", F.col("__row") - (1 << 62)) if old else rows
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """An immutable set of documents whose digests, groups and filters lie below ``place``. ``docs`` are read again for byte checks alone."""
+
+    place: str
+    docs: DataFrame
+    buckets: int
+
+    def part(self, name: str, schema: str) -> DataFrame:
+        return self.docs.sparkSession.read.schema(schema).parquet(f"{self.place}/{name}")
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.part("digests", f"doc_id {self._id()}, text_sha256 string, __row long")
+
+    @property
+    def groups(self) -> DataFrame:
+        return self.part("groups", f"text_sha256 string, first struct<no_id: boolean, doc_id: {self._id()}, __row: long>, n long, bucket int")
+
+    @property
+    def filters(self) -> DataFrame:
+        return self.part("filters", "bucket int, filter binary")
+
+    def _id(self) -> str:
+        return self.docs.schema["doc_id"].dataType.simpleString()
+
+
+def write_snapshot(docs: DataFrame, place: str | None = None) -> Snapshot:
+    """Writes the snapshot of ``docs`` (doc_id, text) to a new folder ``place``, by default one in the shared folder."""
+    spark = docs.sparkSession
+    place = place or f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+    digests(docs, True).write.parquet(f"{place}/digests")
+    first = Snapshot(place, docs, 0)
+    made = Snapshot(place, docs, max(LEAST_BUCKETS, -(-first.rows.count() // BUCKET_KEYS)))
+    _groups(made.rows, made.buckets).write.parquet(f"{place}/groups")
+    build_filters(made.groups).write.parquet(f"{place}/filters")
+    spark.createDataFrame([(made.buckets,)], "buckets long").coalesce(1).write.json(f"{place}/manifest")
+    return made
+
+
+def open_snapshot(docs: DataFrame, place: str) -> Snapshot:
+    """The snapshot that was written from ``docs`` to ``place``."""
+    return Snapshot(place, docs, docs.sparkSession.read.schema("buckets long").json(f"{place}/manifest").first()[0])
 
 
 def _groups(rows: DataFrame, buckets: int) -> DataFrame:
@@ -147,23 +197,24 @@ def screen(groups: DataFrame, filters: DataFrame) -> DataFrame:
     return left.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(ask, "bucket int, text_sha256 string")
 
 
-def dedup_against(snapshot: DataFrame, incoming: DataFrame) -> DataFrame:
-    """One row for each row of both tables: doc_id, keep_id, group_size, kept, text_sha256, in_snapshot.
+def dedup_against(snapshot: Snapshot | DataFrame, incoming: DataFrame) -> DataFrame:
+    """One row for each row of the snapshot and of ``incoming``: doc_id, keep_id, group_size, kept, text_sha256, in_snapshot.
 
-    Texts are equal when identical after each run of ASCII white space is
+    A DataFrame in place of a snapshot is written as one first. Texts are equal when identical after each run of ASCII white space is
     replaced by one space; null counts as empty. Of equal texts, in both tables
     together, the row with the smallest doc_id stays; a null id counts as the largest,
     and of repeated ids one row stays. Empty tables are fine. Other columns are ignored.
     """
-    old_rows, new_rows = digests(snapshot, True), digests(incoming, False)
-    buckets = max(LEAST_BUCKETS, -(-max(old_rows.count(), new_rows.count()) // BUCKET_KEYS))
-    old, new = materialize(_groups(old_rows, buckets), "snapshot"), materialize(_groups(new_rows, buckets), "batch")
-    filters = materialize(build_filters(old), "filters")
+    if not isinstance(snapshot, Snapshot):
+        snapshot = write_snapshot(snapshot)
+    old_rows, old, filters = snapshot.rows, snapshot.groups, snapshot.filters
+    new_rows = materialize(digests(incoming, False), "digests")
+    new = materialize(_groups(new_rows, snapshot.buckets), "batch")
     asked = screen(new, filters)
     # exact buckets: the same digest on either side
     pairs = new.join(asked, ["bucket", "text_sha256"], "left_semi").join(old.select("bucket", "text_sha256", F.col("first").alias("old_first"), F.col("n").alias("old_n")), ["bucket", "text_sha256"])
     pairs = materialize(pairs, "positives")
-    same = _same_bytes(pairs, snapshot, incoming)
+    same = _same_bytes(pairs, snapshot.docs, incoming)
     met = pairs.join(same, "text_sha256", "left_semi").select("text_sha256", F.least("first", "old_first").alias("keep"), (F.col("n") + F.col("old_n")).alias("group_size"), F.col("old_first").isNotNull().alias("old"))
     met = materialize(met, "met")
     known = sized(met, met.count(), 100)

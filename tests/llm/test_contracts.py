@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import common, decontamination, language_id, lm_scoring, mixing, pii, simhash, token_output, toxicity, url_filter
+from lodestone.llm import common, decontamination, exact_dedup, language_id, lm_scoring, mixing, pii, simhash, token_output, toxicity, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -355,3 +355,14 @@ def test_contamination_hashes_are_bounded(monkeypatch):
     monkeypatch.setattr(decontamination, "CACHE_WORDS", 10)
     words = [f"w{i}" for i in range(100)] * 2
     assert decontamination.word_hashes(words).tolist() == [decontamination._word_hash(w) for w in words] and len(decontamination._hashes) <= 20
+
+
+def test_a_snapshot_serves_several_batches(spark, folder, tmp_path):
+    base, _ = folder
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    old, place = docs.where("doc_id < 100"), f"file://{tmp_path}/v1"
+    exact_dedup.write_snapshot(old, place)
+    for batch in (docs.where("doc_id between 100 and 200"), docs.where("doc_id > 200"), docs.limit(0)):
+        opened = exact_dedup.dedup_against(exact_dedup.open_snapshot(old, place), batch)
+        built = exact_dedup.dedup_against(old, batch)
+        assert sorted(map(tuple, opened.collect())) == sorted(map(tuple, built.collect()))
