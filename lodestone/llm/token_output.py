@@ -49,7 +49,7 @@ DICT_DOCS, DICT_IDS, DICT_BYTES = 1000, 2000, 64 << 10
 #: Rows of input for each shard.
 SHARD_ROWS = 20_000
 #: Words, and chunks between white space, in a generation of what a worker remembers, and the longest that it remembers. Only speed depends on it.
-CACHE_WORDS, CACHE_CHUNKS, CACHE_LONGEST = 150_000, 100_000, 64
+CACHE_WORDS, CACHE_CHUNKS, CACHE_LONGEST = 300_000, 150_000, 64
 
 #: Chunks of a long text that are looked up at once.
 RUN = 50_000
