@@ -28,6 +28,7 @@ import os
 import re
 import struct
 import uuid
+import weakref
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -80,8 +81,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: tuple[dict[str, bytes], dict[str, bytes]] = {"": b""}, {}
-        self.words: tuple[dict[str, bytes], dict[str, bytes]] = {"": b""}, {}
+        self.chunks: tuple[dict[str, bytes], dict[str, bytes]] = Chunks(self), {}
+        self.words: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
         self.model = self.tokenizer.model
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         as_char = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(printable))}
@@ -101,27 +102,26 @@ class WordEncoder:
             return array("I", [t.id for t in self.model.tokenize(word.translate(self.spelled))]).tobytes()
         return self._encode(word)
 
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.chunks[0]) > CACHE_CHUNKS:
-            self.chunks = {"": b""}, self.chunks[0]
-        if len(self.words[0]) > CACHE_WORDS:
-            self.words = {"": b""}, self.words[0]
-        (young, old), (words, old_words) = self.chunks, self.words
-        for c in chunks:
-            if (ids := old.get(c)) is None:
-                if m := _SPLIT.fullmatch(c):
-                    w, marks = m[1].lower(), m[2]
-                    if (ids := words.get(w)) is None:
-                        if (ids := old_words.get(w)) is None:
-                            ids = self._encode_word(w)
-                        words[w] = ids
-                    if marks:
-                        if (more := words.get(marks)) is None:
-                            more = words[marks] = self._encode(marks)
-                        ids += more
-                else:
-                    ids = self._encode(c)
-            young[c] = ids
+    def chunk(self, c: str) -> bytes:
+        """The ids of a chunk that the young generation doesn't hold."""
+        if (ids := self.chunks[1].get(c)) is not None:
+            return ids
+        if not (m := _SPLIT.fullmatch(c)):
+            return self._encode(c)
+        words, old = self.words
+        w, marks = m[1].lower(), m[2]
+        if (ids := words.get(w)) is None:
+            if (ids := old.get(w)) is None:
+                ids = self._encode_word(w)
+            if len(w) <= CACHE_LONGEST:
+                words[w] = ids
+        if marks:
+            if (more := words.get(marks)) is None:
+                more = self._encode(marks)
+                if len(marks) <= CACHE_LONGEST:
+                    words[marks] = more
+            ids += more
+        return ids
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -129,21 +129,30 @@ class WordEncoder:
             return self._encode(text)
         chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         if len(chunks) > RUN:
-            return b"".join(self._run(chunks[i : i + RUN]) for i in range(0, len(chunks), RUN))
+            return b"".join([self._run(chunks[i : i + RUN]) for i in range(0, len(chunks), RUN)])
         return self._run(chunks)
 
     def _run(self, chunks: list[str]) -> bytes:
-        distinct = set(chunks)
-        long = {c: self._encode(c) for c in distinct if len(c) > CACHE_LONGEST}
-        distinct.difference_update(long)
-        before = known = self.chunks[0]
-        if missing := [c for c in distinct if c not in known]:
-            self._learn(missing)
-            if (known := self.chunks[0]) is not before:  # a generation ended in between
-                self._learn([c for c in distinct if c not in known])
-        if long:
-            return b"".join([long[c] if c in long else known[c] for c in chunks])
-        return b"".join([known[c] for c in chunks])
+        out = b"".join(map(self.chunks[0].__getitem__, chunks))
+        if len(self.chunks[0]) > CACHE_CHUNKS:
+            self.chunks = Chunks(self), self.chunks[0]
+        if len(self.words[0]) > CACHE_WORDS:
+            self.words = {}, self.words[0]
+        return out
+
+
+class Chunks(dict):
+    """The ids of chunks; one that is missing is encoded, and remembered unless it is long."""
+
+    def __init__(self, owner: WordEncoder):
+        super().__init__({"": b""})
+        self.owner = weakref.proxy(owner)
+
+    def __missing__(self, c: str) -> bytes:
+        ids = self.owner.chunk(c)
+        if len(c) <= CACHE_LONGEST:
+            self[c] = ids
+        return ids
 
 
 def encoder(path: str) -> WordEncoder:
