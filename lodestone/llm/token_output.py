@@ -16,7 +16,7 @@ ascending ``doc_id`` order. A shard is a pair of files:
 
 ``dictionary.zdict`` holds the dictionary; each reader checks its hash.
 
-Shards are cut by ranges of ``doc_id`` and, among equal ids, of a hash of the text. A task
+Shards are cut by ranges of ``doc_id`` and, among equal ids, of the text's beginning. A task
 writes under a temporary name and renames the file when it is complete, and its
 bytes depend on its rows alone: tasks that run again leave the same files.
 """
@@ -49,6 +49,8 @@ END_ID = 2
 DICT_DOCS, DICT_IDS, DICT_BYTES = 1000, 2000, 64 << 10
 #: Rows of input for each shard.
 SHARD_ROWS = 20_000
+#: Characters of a text by which rows with equal ids are dealt to shards; their order is that of whole texts.
+KEY_CHARS = 64
 #: Words, and chunks between white space, in a generation of what a worker remembers, and the longest that it remembers. Only speed depends on it.
 CACHE_WORDS, CACHE_CHUNKS, CACHE_LONGEST = 300_000, 150_000, 64
 
@@ -99,17 +101,21 @@ class WordEncoder:
 
     def _encode_word(self, word: str) -> bytes:
         if self.direct and len(word) < 100:
-            return array("I", [t.id for t in self.model.tokenize(word.translate(self.spelled))]).tobytes()
+            spelled = word if word.isascii() else word.translate(self.spelled)  # ASCII letters are spelled as they are
+            return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
         return self._encode(word)
 
     def chunk(self, c: str) -> bytes:
         """The ids of a chunk that the young generation doesn't hold."""
         if (ids := self.chunks[1].get(c)) is not None:
             return ids
-        if not (m := _SPLIT.fullmatch(c)):
-            return self._encode(c)
         words, old = self.words
-        w, marks = m[1].lower(), m[2]
+        if c.isascii() and c.isalpha():
+            w, marks = c.lower(), ""
+        elif m := _SPLIT.fullmatch(c):
+            w, marks = m[1].lower(), m[2]
+        else:
+            return self._encode(c)
         if (ids := words.get(w)) is None:
             if (ids := old.get(w)) is None:
                 ids = self._encode_word(w)
@@ -223,8 +229,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None, end_id
     """Writes ``docs`` (doc_id, text) to the shared folder ``out``; returns the manifest, a row for each shard in order.
 
     A null text counts as empty and gives the end id alone. Rows with a null
-    doc_id come first; rows that share a doc_id are ordered by their text's hash, then by the text, so that
-    those of an id that repeats very often needn't share a shard. An empty table gives no shards. Other columns are ignored.
+    doc_id come first; rows that share a doc_id are ordered by their text, and
+    needn't share a shard unless their texts begin alike. An empty table gives no shards. Other columns are ignored.
     """
     tokenizer = tokenizer or default_tokenizer()
     fs, path = _fs(out)
@@ -264,8 +270,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None, end_id
         _put(f"{name}.idx", head + np.array(index, dtype="<i8").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(index)], pa.int64()), pa.array([ids], pa.int64()), pa.array([at], pa.int64())], ["shard", "n_docs", "n_tokens", "n_bytes"])
 
-    mixed = F.xxhash64("text")
-    dealt = docs.repartitionByRange(shards, F.col("doc_id"), mixed).sortWithinPartitions(F.col("doc_id"), mixed, F.col("text"))
+    dealt = docs.repartitionByRange(shards, F.col("doc_id"), F.substring("text", 1, KEY_CHARS)).sortWithinPartitions("doc_id", "text")
     done = map_batches(dealt, write, "shard long, n_docs long, n_tokens long, n_bytes long").collect()
     start, manifest = 0, []
     for r in sorted(done, key=lambda r: r["shard"]):
