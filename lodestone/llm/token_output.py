@@ -28,13 +28,13 @@ import os
 import re
 import struct
 import uuid
-import weakref
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,14 +51,16 @@ DICT_DOCS, DICT_IDS, DICT_BYTES = 1000, 2000, 64 << 10
 SHARD_ROWS = 20_000
 #: Characters of a text by which rows with equal ids are dealt to shards; their order is that of whole texts.
 KEY_CHARS = 64
-#: Words, and chunks between white space, in a generation of what a worker remembers, and the longest that it remembers. Only speed depends on it.
-CACHE_WORDS, CACHE_CHUNKS, CACHE_LONGEST = 300_000, 150_000, 64
-
-#: Chunks of a long text that are looked up at once.
-RUN = 50_000
+#: Words and other chunks in a generation of what a worker remembers, and the longest that it remembers. Only speed depends on it.
+CACHE_WORDS, CACHE_LONGEST = 300_000, 64
+#: Bytes of texts that are looked up at once; a longer text is looked up on its own.
+AT_ONCE = 4 << 20
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
-_SPLIT = re.compile(rf"([{_LATIN}]+)([.,!?;:|%&*#$]*)")
+_LETTERS = "".join(c for c in map(chr, range(256)) if re.fullmatch(f"[{_LATIN}]", c))
+_MARKS = ".,!?;:|%&*#$"
+_WORD = re.compile(f"[{_LATIN}]+")
+_SPACE = re.compile(r"[ \t\n\v\f\r]+")
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -66,8 +68,8 @@ class WordEncoder:
     """Encodes whole texts with a tokenizer whose tokens never reach across ASCII white space.
 
     Such a tokenizer gives a text's ids as the concatenation of those of the
-    chunks between white space, so chunks can be remembered. A chunk of Latin
-    letters and trailing marks is looked up again as its lower-case word and its
+    chunks between white space. Of a batch of texts each different chunk is looked up once,
+    one of Latin letters and trailing marks as its lower-case word and its
     marks, which the tokenizer separates and folds anyway. New words go straight
     to the tokenizer's model where a probe shows that this gives the same ids.
 
@@ -83,82 +85,72 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: tuple[dict[str, bytes], dict[str, bytes]] = Chunks(self), {}
-        self.words: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.chunks: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
         self.model = self.tokenizer.model
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         as_char = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(printable))}
         self.spelled = str.maketrans({chr(c): "".join(as_char[b] for b in chr(c).encode()) for c in range(256)})
-        tries = ("The Quick  brown\nFOX, jumps\tOVER. the 12 lazy dogs!", " leading and trailing ", "ÀÉÎõü ÑANDÚ Straße (x)%% $$a b.c", "it's we'LL  \r\n end")
-        split = (lambda t: t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
-        self.whole = any(self._encode(t) != b"".join(map(self._encode, split(t))) or self._encode(t) != self._encode(t.lower()) for t in tries)
-        probe = [chr(c) for c in range(256) if re.fullmatch(f"[{_LATIN}]", chr(c))]
+        tries = ("The Quick  brown\nFOX, jumps\tOVER. the 12 lazy dogs!", " leading and trailing ", "ÀÉÎõü ÑANDÚ Straße (x)%% $$a b.c", "it's we'LL  \r\n\v\f end")
+        self.whole = any(self._encode(t) != b"".join(map(self._encode, _SPACE.split(t))) or self._encode(t) != self._encode(t.lower()) for t in tries)
+        probe = [chr(c) for c in range(256) if _WORD.fullmatch(chr(c))]
         probe = [w.lower() for w in [*probe, "".join(probe), "word", "dañoèüß", "thestionlybeing"]]
         self.direct = all([t.id for t in self.model.tokenize(w.translate(self.spelled))] == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
 
     def _encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _encode_word(self, word: str) -> bytes:
-        if self.direct and len(word) < 100:
-            spelled = word if word.isascii() else word.translate(self.spelled)  # ASCII letters are spelled as they are
+    def _encode_new(self, chunk: str) -> bytes:
+        """The ids of a lower-case word, of marks, or of any other chunk."""
+        if self.direct and len(chunk) < 100 and _WORD.fullmatch(chunk):
+            spelled = chunk if chunk.isascii() else chunk.translate(self.spelled)  # ASCII letters are spelled as they are
             return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-        return self._encode(word)
-
-    def chunk(self, c: str) -> bytes:
-        """The ids of a chunk that the young generation doesn't hold."""
-        if (ids := self.chunks[1].get(c)) is not None:
-            return ids
-        words, old = self.words
-        if c.isascii() and c.isalpha():
-            w, marks = c.lower(), ""
-        elif m := _SPLIT.fullmatch(c):
-            w, marks = m[1].lower(), m[2]
-        else:
-            return self._encode(c)
-        if (ids := words.get(w)) is None:
-            if (ids := old.get(w)) is None:
-                ids = self._encode_word(w)
-            if len(w) <= CACHE_LONGEST:
-                words[w] = ids
-        if marks:
-            if (more := words.get(marks)) is None:
-                more = self._encode(marks)
-                if len(marks) <= CACHE_LONGEST:
-                    words[marks] = more
-            ids += more
-        return ids
+        return self._encode(chunk)
+
+    def _known(self, chunks: pa.Array) -> pa.Array:
+        """The ids of each of ``chunks``; new ones are encoded, and remembered unless they are long."""
+        coded = chunks.dictionary_encode()
+        names, (young, old) = coded.dictionary.to_pylist(), self.chunks
+        found = list(map(young.get, names))
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            c = names[i]
+            if (ids := old.get(c)) is None:
+                ids = self._encode_new(c)
+            if len(c) <= CACHE_LONGEST:
+                young[c] = ids
+            found[i] = ids
+        if len(young) > CACHE_WORDS:
+            self.chunks = {}, young
+        return pa.array(found, pa.large_binary()).take(coded.indices)
+
+    def _looked_up(self, texts: pa.Array) -> Iterator[bytes]:
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        chunks = coded.dictionary
+        marks, stems = pc.utf8_ltrim(chunks, characters=_LETTERS), pc.utf8_rtrim(chunks, characters=_MARKS)
+        plain = pc.equal(pc.add(pc.binary_length(marks), pc.binary_length(stems)), pc.binary_length(chunks))  # letters, then marks
+        heads, tails = pc.if_else(plain, pc.utf8_lower(stems), chunks), pc.if_else(plain, marks, "")
+        ids = pc.binary_join_element_wise(self._known(heads), self._known(tails), pa.scalar(b"", pa.large_binary())).take(coded.indices)
+        _, ends, data = ids.buffers()
+        cuts = np.frombuffer(ends, "<i8")[ids.offset :][lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        for begin, stop in zip(cuts, cuts[1:]):
+            yield data[begin:stop].to_pybytes() if stop > begin else b""
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; a null has none."""
+        texts = texts.fill_null("")
+        if self.whole:
+            yield from (self._encode(t.as_py()) for t in texts)
+            return
+        ends, at = np.cumsum(pc.binary_length(texts).to_numpy(), dtype="i8"), 0
+        while at < len(texts):
+            size = AT_ONCE + (ends[at - 1] if at else 0)
+            stop = max(at + 1, int(np.searchsorted(ends, size, "right")))
+            yield from self._looked_up(texts.slice(at, stop - at))
+            at = stop
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if self.whole:
-            return self._encode(text)
-        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if len(chunks) > RUN:
-            return b"".join([self._run(chunks[i : i + RUN]) for i in range(0, len(chunks), RUN)])
-        return self._run(chunks)
-
-    def _run(self, chunks: list[str]) -> bytes:
-        out = b"".join(map(self.chunks[0].__getitem__, chunks))
-        if len(self.chunks[0]) > CACHE_CHUNKS:
-            self.chunks = Chunks(self), self.chunks[0]
-        if len(self.words[0]) > CACHE_WORDS:
-            self.words = {}, self.words[0]
-        return out
-
-
-class Chunks(dict):
-    """The ids of chunks; one that is missing is encoded, and remembered unless it is long."""
-
-    def __init__(self, owner: WordEncoder):
-        super().__init__({"": b""})
-        self.owner = weakref.proxy(owner)
-
-    def __missing__(self, c: str) -> bytes:
-        ids = self.owner.chunk(c)
-        if len(c) <= CACHE_LONGEST:
-            self[c] = ids
-        return ids
+        """The ids of one text."""
+        return next(self.encode_all(pa.array([text], pa.string())))
 
 
 def encoder(path: str) -> WordEncoder:
@@ -212,13 +204,14 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> b
 
     n = max(1, docs.count())
     chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(min(1 << 20, -(-(DICT_DOCS << 20) // n))))
-    encode, end = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4").tobytes()
     # of a long text, four pieces of its whole length come to the driver
     size, length = 4 * DICT_IDS, F.length("text")
     pieces = [F.substring("text", F.floor((length - size) * i / 3).cast("int") + 1, F.lit(size)) for i in range(4)]
     some = chosen.orderBy(F.xxhash64("doc_id", F.lit(9)), F.xxhash64("text")).limit(2 * DICT_DOCS)
     rows = some.select(F.when(length > 4 * size, F.array(*pieces)).otherwise(F.array("text"))).collect()
-    samples = [_spread(b"".join(encode(x or "") for x in r[0])) + end for r in rows]
+    encode = encoder(tokenizer).encode_all
+    samples = [_spread(b"".join(encode(pa.array(r[0], pa.string())))) + end for r in rows]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -247,16 +240,16 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None, end_id
 
         kinds = {"dict_data": zstandard.ZstdCompressionDict(zdict)} if zdict else {}
         squeeze = zstandard.ZstdCompressor(level=3, write_content_size=True, write_dict_id=False, **kinds).compress
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer).encode_all
         shard = TaskContext.get().partitionId()
         name, at, ids, index, stream, draft = f"{out}/shard-{shard:05d}", 0, 0, [], None, ""
         fs, path = _fs(name)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
                 if stream is None:
                     draft = f"{path}.bin.{uuid.uuid4().hex}.tmp"
                     stream = fs.open_output_stream(draft)
-                raw = encode(text or "") + end
+                raw += end
                 frame = squeeze(raw)
                 stream.write(frame)
                 at += len(frame)
