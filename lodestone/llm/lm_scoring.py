@@ -60,12 +60,11 @@ def encoded(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     rows = docs.select(*columns(docs, "text", "ids"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer).encode_all
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            for i in range(0, len(texts), 500):
+            for i in range(0, len(b), 500):
                 part = b.slice(i, 500)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([encode(t or "") for t in texts[i : i + 500]], pa.binary())], [*part.schema.names[:-1], "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(encode(part.column(b.num_columns - 1)), pa.binary())], [*part.schema.names[:-1], "ids"])
 
     return materialize(map_batches(rows, run, fields(rows, "ids binary", ("text",))), "ids")
 
