@@ -137,10 +137,10 @@ def a07_git_log(spark, sf):
 
 
 @query("a08_unified_diff", """
-    WITH h AS (SELECT l_orderkey AS change_id, l_linenumber AS k, 'f' || l_partkey || '.py' AS path, l_linenumber * 100 AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS hunk_no FROM lineitem WHERE l_quantity >= 49)
+    WITH h AS (SELECT l_orderkey AS change_id, l_linenumber AS k, 'f' || l_partkey || '.py' AS path, l_linenumber * 100 AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS hunk_no FROM lineitem)
     SELECT change_id, path, hunk_no, unnest(['context', 'removed', 'added', 'added']) AS kind, unnest([s, NULL, s + 1, s + 2]) AS new_line, unnest(['keep', 'old', 'new', '++more']) AS text FROM h""")
 def a08_unified_diff(spark, sf):
-    li = rel(spark, sf, "lineitem").where("l_quantity >= 49")
+    li = rel(spark, sf, "lineitem")
     s = (F.col("l_linenumber") * 100).cast("string")
     piece = F.concat(F.lit("diff --git a/x b/x\n--- a/x\n+++ b/f"), "l_partkey", F.lit(".py\n@@ -"), s, F.lit(",2 +"), s, F.lit(",3 @@ fn\n keep\n-old\n+new\n+++more\n"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", piece.alias("t")))), lambda x: x["t"]), "")

@@ -37,7 +37,7 @@ VIEWS = {
     "imports": """
         SELECT DISTINCT 'm' || c_nationkey AS from_path, CASE WHEN s_suppkey % 17 = 0 THEN NULL ELSE 'm' || s_nationkey END AS to_path
         FROM orders, lineitem, customer, supplier
-        WHERE o_orderkey = l_orderkey AND o_custkey = c_custkey AND l_suppkey = s_suppkey AND l_quantity >= 49""",
+        WHERE o_orderkey = l_orderkey AND o_custkey = c_custkey AND l_suppkey = s_suppkey""",
     "metrics": """
         SELECT o_custkey AS symbol, CAST(o_orderdate AS DATE) AS snapshot_at, max(o_totalprice) AS callers, count(*) AS coreness, max(o_orderstatus) AS hub
         FROM orders GROUP BY o_custkey, CAST(o_orderdate AS DATE)""",
