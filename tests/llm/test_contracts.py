@@ -10,6 +10,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -366,3 +367,22 @@ def test_a_snapshot_serves_several_batches(spark, folder, tmp_path):
         opened = exact_dedup.dedup_against(exact_dedup.open_snapshot(old, place), batch)
         built = exact_dedup.dedup_against(old, batch)
         assert sorted(map(tuple, opened.collect())) == sorted(map(tuple, built.collect()))
+
+
+def test_encoder_of_batches_matches_library(monkeypatch):
+    """Nulls, empty and very long texts, odd white space, special tokens and random strings; with small caches and pieces too."""
+    from tokenizers import Tokenizer
+
+    path, rnd = token_output.default_tokenizer(), random.Random(5)
+    plain = Tokenizer.from_file(path)
+    letters = "aB éß'..,!\t\n\v\f\r\x1c\x85\xa0́Σς中😀0 9%-&<|endoftext|>"
+    texts = [None, "", " ", "\n\n", "a" * 50_000, "ab " * 50_000, "Ünïcödé!!! x", "İstanbul ΣΑΣ ΑΣ.", "é ́a", "<|endoftext|> a", "...", "word,.word!", "don't WE'LL"]
+    texts += ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 40))) for _ in range(2000)]
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for cache, at_once in ((300_000, 4 << 20), (50, 1000)):
+        monkeypatch.setattr(token_output, "CACHE_WORDS", cache)
+        monkeypatch.setattr(token_output, "AT_ONCE", at_once)
+        mine, column = token_output.WordEncoder(path), pa.array(texts, pa.string())
+        assert [np.frombuffer(x, "<u4").tolist() for x in mine.encode_all(column)] == want
+        assert [np.frombuffer(x, "<u4").tolist() for x in mine.encode_all(column.slice(7, 500))] == want[7:507]
+        assert list(mine.encode_all(column.slice(0, 0))) == []
