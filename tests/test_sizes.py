@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from lodestone.operators import edits, risk
+from lodestone.operators import edits, lineage, locate, resolve, risk, text
+from lodestone.sources import code
+from lodestone.streaming import incremental
 
 HUNK, FACT = "change_id long, path string, new_start int, new_end int", "path string, qn string, line_start int, line_end int, caller_count long, is_hub boolean"
 
@@ -77,3 +79,84 @@ def test_touched_symbols_are_not_moved_by_pair(spark):
     assert sorted(map(tuple, risk.touched_symbols(hunks, facts).collect())) == sorted(met)
     rows, _, moved = work(risk.touched_symbols(*same_place(spark)))
     assert len(set(rows)) == len(rows) == 200 * 200 and moved <= 1000
+
+
+def test_by_name_asks_each_name_and_line_once(spark):
+    asked = [(k, "a", k % 3) for k in range(300)] + [(300, "none", 1), (301, None, 1), (302, "a", None), (303, "b", 5), (304, "b", 90), (305, "c", None)]
+    symbols = [("a", f"s{k}", 2, 2 + k) for k in range(300)] + [("a", "first", 1, 1), ("b", "t", 4, 6), ("c", "u", 1, 2), (None, "v", 1, 9)]
+    df = resolve.by_name(spark.createDataFrame(asked, "ask_id long, name string, line int"), spark.createDataFrame(symbols, "name string, qn string, line_start int, line_end int"))
+    rows, out, _ = work(df)
+    got = {r["ask_id"]: (r["outcome"], r["qn"]) for r in rows}
+    want = {k: (("ambiguous", None), ("found", "first"), ("ambiguous", None))[k % 3] for k in range(300)}
+    want |= {300: ("not_found", None), 301: ("not_found", None), 302: ("ambiguous", None), 303: ("found", "t"), 304: ("found", "t"), 305: ("found", "u")}
+    assert got == want and out <= 1000
+
+
+def test_joins_of_texts_are_shuffled(spark):
+    """Spark's estimate lets it send these sides to every executor, whatever the size of the texts that a plan makes."""
+    files = spark.createDataFrame([("f", "python", "a(1)\nb(2)")], "path string, language string, text string")
+    sites = spark.createDataFrame([("f", 1)], "path string, line int")
+    symbols = spark.createDataFrame([("S", "x_y_z")], "qn string, name string")
+    edges = spark.createDataFrame([("S", "T", "formal", False)], "src string, dst string, confidence string, ruled_out boolean")
+    for df in (locate.previews(sites, code.lines(files)), lineage.digests(symbols, edges, spark.createDataFrame([("S",)], "node string"))):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_signature_texts_are_gathered_by_place(spark):
+    n = 200
+    diff = spark.createDataFrame([(c, "p", "+-"[c % 2], 5, f"t{c}") for c in range(n)] + [(0, "p", "+", 5, "a"), (0, "p", "-", 5, None), (0, "p", "+", 6, "z")], "change_id long, path string, sign string, line int, text string")
+    symbols = spark.createDataFrame([("p", f"s{k}", 5) for k in range(n)], "path string, qn string, line_start int")
+    rows, _, moved = work(edits.signature_texts(diff, symbols))
+    assert len(rows) == n * n and {(r["before"], r["after"]) for r in rows if r["change_id"] < 2} == {("", "a\nt0"), ("t1", "")} and moved <= 1000
+
+
+def test_shared_files_deal_a_path_over_tasks(spark):
+    touches = spark.createDataFrame([(s, "p", s * 2 + k) for s in range(60) for k in range(2)] + [(1, "q", 0), (2, None, 9)], "session long, path string, seq long")
+    df = incremental.shared_files(touches)
+    assert sorted((r["session"], r["other"], r["path"]) for r in df.collect()) == sorted((a, b, "p") for a in range(60) for b in range(60) if a != b)
+    assert "part" in df._jdf.queryExecution().analyzed().toString()
+
+
+DIFF = """diff --git a/x b/x
+--- a/x
++++ "b/one two"	note
+@@ -1,2 +7,3 @@ fn
+ keep
+-old
++new
+\\ No newline
++++ b/late
+ after
+@@ odd
++x
+diff --git a/y b/y
+--- a/y
++++ b/y
+@@ -1 +20 @@
+
++last
+"""
+REPORT = "DA:1,1\nSF:a\nDA:2,0\nDA:3,00\nDA:4,01,xx\nend_of_record x\nDA:5,2\nend_of_record\nDA:6,1\nSF:\nDA:7,1\nSF:b\r\nDA:8,1"
+XML = '<line number="1" hits="1"/><class filename="a"><line number="2" hits="0"/><line number="3" hits="2" filename="z"/><line hits="9"/></class><class filename="b"/>'
+
+
+def test_readers_of_reports_sort_nothing(spark):
+    """Lines of a text are numbered and told to files within the text's row."""
+    d = text.diff_lines(spark.createDataFrame([(1, DIFF), (2, None), (3, "+a\n b")], "change_id long, text string"))
+    assert sorted(map(tuple, d.collect()), key=str) == sorted([
+        (1, "one two", 1, "context", 7, "keep"), (1, "one two", 1, "removed", None, "old"), (1, "one two", 1, "added", 8, "new"), (1, "late", 1, "context", 9, "after"),
+        (1, "late", 2, "added", None, "x"), (1, "y", 3, "added", 20, "last"),
+    ], key=str)
+    lcov = text.lcov(spark.createDataFrame([(1, REPORT), (2, None), (3, "")], "report_id long, text string"))
+    assert sorted(map(tuple, lcov.collect())) == [(1, "a", 4), (1, "a", 5), (1, "b\r", 8)]
+    cob = text.cobertura(spark.createDataFrame([(1, XML), (2, None), (3, "x")], "report_id long, text string"))
+    assert sorted(map(tuple, cob.collect()), key=str) == sorted([(1, None, 1), (1, "a", 3), (1, "a", None)], key=str)
+    for df in (d, lcov, cob):
+        assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hunks_that_start_alike_are_covered_one_by_one(spark):
+    hunks = spark.createDataFrame([(1, "p", 10, 11), (1, "p", 10, 20), (2, "p", 10, 20), (3, None, 1, 2)], HUNK)
+    got = risk.uncovered_hunks(hunks, spark.createDataFrame([("p", 15)], "path string, line int")).collect()
+    assert {r["change_id"]: r["uncovered"] for r in got} == {1: True, 2: False, 3: True}
