@@ -96,10 +96,15 @@ def recall(notes: DataFrame, phrase: str | None = None, topic: str | None = None
 
 def previews(sites: DataFrame, lines: DataFrame) -> DataFrame:
     """Sites (path, line) with the trimmed and redacted line, cut at ``PREVIEW`` characters; null if it is blank or out of range."""
-    text = redact(F.trim("text"))
-    short = F.when(F.length(text) > PREVIEW, F.concat(F.left(text, F.lit(PREVIEW)), F.lit("…"))).otherwise(text)
     asked = sites.select("path", "line").distinct()
-    found = asked.join(lines.select("path", F.col("line_no").alias("line"), F.col("line").alias("text")), ["path", "line"], "left")
+    # shuffled: lines have no size bound, and Spark's estimate of texts that are made by a plan is far too small
+    found = asked.join(lines.select("path", F.col("line_no").alias("line"), F.col("line").alias("text")).hint("merge"), ["path", "line"], "left")
+
+    def preview(text: Column) -> Column:
+        return F.when(F.length(text) > PREVIEW, F.concat(F.left(text, F.lit(PREVIEW)), F.lit("…"))).otherwise(text)
+
+    # the redacted line is bound as a lambda's variable, so that it is made once for each row
+    short = F.transform(F.array(redact(F.trim("text"))), preview)[0]
     return found.select("path", "line", F.when(F.trim("text") != "", short).alias("preview"))
 
 
