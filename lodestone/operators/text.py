@@ -65,28 +65,48 @@ def git_log(lines_: DataFrame) -> DataFrame:
 
 def diff_lines(diffs: DataFrame) -> DataFrame:
     """The lines of unified diffs (change_id, text): path, hunk, kind (added, removed, context) and, but for removed ones, the new line number."""
-    ls = lines(diffs, "change_id")
-    w = Window.partitionBy("change_id").orderBy("line_no")
-    ls = ls.withColumn("path", F.last(F.when(F.col("line").startswith("+++ "), F.regexp_replace("line", r'^\+\+\+ "?(?:b/)?([^"\t]*)"?.*$', "$1")), True).over(w))
-    is_hunk = F.col("line").startswith("@@ ")
-    ls = ls.withColumn("hunk_no", F.sum(is_hunk.cast("int")).over(w))
-    ls = ls.withColumn("new_start", F.last(F.when(is_hunk, F.regexp_extract("line", r"\+([0-9]+)", 1).cast("int")), True).over(w))
-    head = F.col("line").rlike(r"^(?:\+\+\+ |--- |diff |index |@@ )")
-    kind = F.when(head, None).when(F.col("line").startswith("+"), "added").when(F.col("line").startswith("-"), "removed").when(F.col("line").startswith(" "), "context")
-    ls = ls.withColumn("kind", kind)
-    moved = F.sum(F.when(F.col("kind").isin("added", "context"), 1).otherwise(0)).over(Window.partitionBy("change_id", "hunk_no").orderBy("line_no"))
-    out = ls.withColumn("new_line", F.when(F.col("kind").isin("added", "context"), F.col("new_start") + moved - 1))
-    return out.where(F.col("kind").isNotNull() & (F.col("hunk_no") > 0)).select("change_id", "path", "hunk_no", "kind", "new_line", F.expr("substring(line, 2)").alias("text"))
+
+    def hunks(ls: Column, at: Column, names: Column) -> Column:
+        def hunk(start: Column, j: Column) -> Column:
+            end = F.coalesce(F.get(at, j + 1), F.size(ls) + 1)
+            return F.struct(
+                (j + 1).alias("hunk_no"), F.slice(ls, start, end - start).alias("ls"), F.regexp_extract(F.get(ls, start - 1), r"\+([0-9]+)", 1).try_cast("int").alias("new_start"),
+                F.element_at(ls, F.array_max(F.filter(names, lambda p: p < start))).alias("name"), F.transform(F.filter(names, lambda p: (p > start) & (p < end)), lambda p: p - start + 1).alias("names"),
+            )
+
+        return F.transform(at, hunk)
+
+    def places(ls: Column, mark: str) -> Column:
+        return F.filter(F.sequence(F.lit(1), F.size(ls)), lambda i: F.startswith(F.get(ls, i - 1), F.lit(mark)))
+
+    # what is used more than once is bound as a lambda's variable; nothing is sorted or moved by line
+    marked = F.transform(F.array(F.split("text", "\n")), lambda ls: F.struct(ls.alias("ls"), places(ls, "@@ ").alias("at"), places(ls, "+++ ").alias("names")))
+    each = diffs.where(F.col("text").isNotNull()).select("change_id", F.explode(F.transform(marked, lambda m: hunks(m["ls"], m["at"], m["names"]))[0]).alias("h"))
+
+    def numbered(h: Column) -> Column:
+        ls = h["ls"]
+        line = lambda i: F.get(ls, i - 1)
+        path = lambda i: F.when(F.size(h["names"]) == 0, h["name"]).otherwise(F.coalesce(F.get(ls, F.array_max(F.filter(h["names"], lambda p: p <= i)) - 1), h["name"]))
+        is_head = lambda x: F.rlike(x, F.lit(r"^(?:\+\+\+ |--- |diff |index |@@ )"))
+        first = lambda x: F.substring(x, 1, 1)
+        of = lambda marks: F.filter(F.sequence(F.lit(1), F.size(ls)), lambda i: first(line(i)).isin(*marks) & ~is_head(line(i)))
+        row = lambda i, kind, no: F.struct(path(i).alias("name"), kind.alias("kind"), no.cast("long").alias("new_line"), F.substring(line(i), 2, 2147483647).alias("text"))
+        # the new line's number is the line's place among the added and context lines of its hunk
+        new = F.transform(of("+ "), lambda i, k: row(i, F.when(first(line(i)) == "+", F.lit("added")).otherwise(F.lit("context")), h["new_start"] + k))
+        return F.concat(new, F.transform(of("-"), lambda i: row(i, F.lit("removed"), F.lit(None))))
+
+    rows = each.select("change_id", F.col("h.hunk_no").cast("long").alias("hunk_no"), F.explode(F.transform(F.array("h"), numbered)[0]).alias("r"))
+    path = F.regexp_replace("r.name", r'^\+\+\+ "?(?:b/)?([^"\t]*)"?.*$', "$1")
+    return rows.select("change_id", path.alias("path"), "hunk_no", "r.kind", "r.new_line", "r.text")
 
 
 def lcov(reports: DataFrame) -> DataFrame:
     """Covered lines of LCOV reports (report_id, text): SF opens a file, DA with hits covers a line, end_of_record closes."""
-    ls = lines(reports, "report_id")
-    w = Window.partitionBy("report_id").orderBy("line_no")
-    opened = F.when(F.col("line").startswith("SF:"), F.expr("substring(line, 4)")).when(F.col("line") == "end_of_record", "")
-    ls = ls.withColumn("path", F.last(opened, True).over(w))
-    da = ls.where(F.col("line").rlike("^DA:[0-9]+,[0-9]+") & (F.col("path") != ""))
-    return da.where(F.regexp_extract("line", ",([0-9]+)", 1).cast("long") > 0).select("report_id", "path", F.regexp_extract("line", "^DA:([0-9]+)", 1).cast("int").alias("line")).distinct()
+    # a piece for each file that is opened; what comes before the first, or after a record's end, isn't one. Nothing is sorted by line
+    piece = reports.select("report_id", F.explode(F.split(F.concat(F.lit("\n"), "text"), r"\n(?=SF:)|\nend_of_record(?=\n|\z)")).alias("piece")).where(F.startswith("piece", F.lit("SF:")))
+    path = F.expr("substring(substring_index(piece, '\n', 1), 4)")
+    hit = F.regexp_extract_all("piece", F.lit(r"\nDA:([0-9]+),0*[1-9]"), 1)
+    return piece.select("report_id", path.alias("path"), F.explode(hit).alias("line")).where("path != ''").select("report_id", "path", F.col("line").try_cast("int").alias("line")).distinct()
 
 
 def go_cover(reports: DataFrame) -> DataFrame:
@@ -98,11 +118,17 @@ def go_cover(reports: DataFrame) -> DataFrame:
 
 def cobertura(reports: DataFrame) -> DataFrame:
     """Covered lines of Cobertura XML, by a scan of its attributes: a line's file is the last filename before it."""
+
+    def pieces(tags: Column) -> Column:
+        names = F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(1), F.size(tags)), lambda i: F.startswith(F.get(tags, i - 1), F.lit("filename"))))
+        cut = lambda at: F.transform(at, lambda s, j: F.struct(F.when(s > 0, F.regexp_extract(F.get(tags, s - 1), '"([^"]*)"', 1)).alias("path"), F.slice(tags, s + 1, F.coalesce(F.get(at, j + 1), F.size(tags) + 1) - s - 1).alias("lines")))
+        return F.transform(F.array(names), cut)[0]
+
+    # a piece for each filename and the line tags up to the next one; nothing is sorted by tag
     tags = F.regexp_extract_all("text", F.lit(r'(filename="[^"]*"|<line [^>]*>)'), 1)
-    rows = reports.select("report_id", F.posexplode(tags).alias("i", "tag"))
-    w = Window.partitionBy("report_id").orderBy("i")
-    rows = rows.withColumn("path", F.last(F.when(F.col("tag").startswith("filename"), F.regexp_extract("tag", '"([^"]*)"', 1)), True).over(w))
-    hit = rows.where(F.col("tag").startswith("<line") & (F.regexp_extract("tag", r'hits="([0-9]+)"', 1).try_cast("long") > 0))
+    bound = F.transform(F.filter(F.array(tags), lambda t: F.size(t) > 0), pieces)
+    piece = reports.select("report_id", F.explode(F.flatten(bound)).alias("p")).select("report_id", "p.path", F.explode("p.lines").alias("tag"))
+    hit = piece.where(F.regexp_extract("tag", r'hits="([0-9]+)"', 1).try_cast("long") > 0)
     return hit.select("report_id", "path", F.regexp_extract("tag", r'number="([0-9]+)"', 1).try_cast("int").alias("line")).distinct()
 
 

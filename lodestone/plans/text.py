@@ -141,9 +141,13 @@ def a07_git_log(spark, sf):
     SELECT change_id, path, hunk_no, unnest(['context', 'removed', 'added', 'added']) AS kind, unnest([s, NULL, s + 1, s + 2]) AS new_line, unnest(['keep', 'old', 'new', '++more']) AS text FROM h""")
 def a08_unified_diff(spark, sf):
     li = rel(spark, sf, "lineitem")
-    s = (F.col("l_linenumber") * 100).cast("string")
-    piece = F.concat(F.lit("diff --git a/x b/x\n--- a/x\n+++ b/f"), "l_partkey", F.lit(".py\n@@ -"), s, F.lit(",2 +"), s, F.lit(",3 @@ fn\n keep\n-old\n+new\n+++more\n"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", piece.alias("t")))), lambda x: x["t"]), "")
+
+    def piece(x):
+        at = (x["l_linenumber"] * 100).cast("string")
+        return F.concat(F.lit("diff --git a/x b/x\n--- a/x\n+++ b/f"), x["l_partkey"], F.lit(".py\n@@ -"), at, F.lit(",2 +"), at, F.lit(",3 @@ fn\n keep\n-old\n+new\n+++more\n"))
+
+    # numbers are gathered, texts made of them
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))), piece), "")
     return O.diff_lines(li.groupBy(F.col("l_orderkey").alias("change_id")).agg(text.alias("text")))
 
 
