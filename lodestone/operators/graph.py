@@ -143,7 +143,7 @@ def cycles(edges: DataFrame, at_once: int = small.EDGES) -> DataFrame:
 
     Nodes without predecessors or successors are trimmed first; of the rest, a node is on a cycle if it reaches itself. Strong
     components come from forward colouring: the least label that reaches a node, then backward from its own. Each round removes a
-    component at least, and rounds go on until no edge is left. What is left of at most ``at_once`` edges is done in one task.
+    component at least; joins are shuffled, since the graph has no size bound, and rounds go on until no edge is left. What is left of at most ``at_once`` edges is done in one task.
     """
     use = live(edges).where(F.col("confidence").isin(*VERIFIED)).select("src", "dst").distinct()
     loops = use.where("src = dst").select(F.col("src").alias("node"))
@@ -156,22 +156,24 @@ def cycles(edges: DataFrame, at_once: int = small.EDGES) -> DataFrame:
             found = own if found is None else found.unionByName(own)
             break
         while n:  # trim
-            kept = cut(rest.join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
+            kept = cut(rest.join(rest.select(F.col("src").alias("dst")).distinct().hint("merge"), "dst", "left_semi").join(rest.select(F.col("dst").alias("src")).distinct().hint("merge"), "src", "left_semi").select("src", "dst"))
             m = kept.count()
             rest, done, n = kept, m == n, m
-            if done:
+            if done or n <= at_once:
                 break
         if not n:
             break
+        if n <= at_once:
+            continue
         color = cut(rest.select(F.col("src").alias("node")).unionByName(rest.select(F.col("dst").alias("node"))).distinct().withColumn("c", F.col("node")))
         while True:  # the least node that reaches each
-            told = rest.join(color.withColumnRenamed("node", "src"), "src").groupBy("dst").agg(F.min("c").alias("m"))
-            new = cut(color.join(told, F.col("node") == F.col("dst"), "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c")))
-            same = new.join(color.withColumnRenamed("c", "o"), "node").where("c != o").isEmpty()
+            told = rest.join(color.withColumnRenamed("node", "src").hint("merge"), "src").groupBy("dst").agg(F.min("c").alias("m"))
+            new = cut(color.join(told.hint("merge"), F.col("node") == F.col("dst"), "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c")))
+            same = new.join(color.withColumnRenamed("c", "o").hint("merge"), "node").where("c != o").isEmpty()
             color = new
             if same:
                 break
-        inside = rest.join(color.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(color.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd").select("src", "dst", F.col("cs").alias("c"))
+        inside = rest.join(color.select(F.col("node").alias("src"), F.col("c").alias("cs")).hint("merge"), "src").join(color.select(F.col("node").alias("dst"), F.col("c").alias("cd")).hint("merge"), "dst").where("cs = cd").select("src", "dst", F.col("cs").alias("c"))
         inside = cut(inside)
         back = color.where("node = c").select("node")
         reached = back
@@ -181,7 +183,7 @@ def cycles(edges: DataFrame, at_once: int = small.EDGES) -> DataFrame:
             if step.isEmpty():
                 break
             reached = cut(reached.unionByName(step))
-        members = reached.join(color, "node")
+        members = reached.join(color.hint("merge"), "node")
         large = members.groupBy("c").agg(F.count("*").alias("n")).where("n > 1")
         own = cut(members.join(large, "c", "left_semi").select("node"))
         found = own if found is None else found.unionByName(own)

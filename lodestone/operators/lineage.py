@@ -24,7 +24,9 @@ def digests(symbols: DataFrame, edges: DataFrame, on_cycle: DataFrame) -> DataFr
     few = pairs.withColumn("k", place).where(F.col("k") <= F.when(F.col("sure"), VERIFIED_NAMES).otherwise(INFERRED_NAMES))
     names = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("dst")))), ",")
     by = few.groupBy(F.col("src").alias("qn")).agg(names(F.col("sure")).alias("verified"), names(~F.col("sure")).alias("inferred"))
-    out = symbols.select("qn", "name").join(by, "qn", "left").join(on_cycle.select(F.col("node").alias("qn"), F.lit(True).alias("c")), "qn", "left")
+    # shuffled: digests and cycles have no size bound, whatever Spark's estimate of them
+    cyclic = on_cycle.select(F.col("node").alias("qn"), F.lit(True).alias("c"))
+    out = symbols.select("qn", "name").join(by.hint("merge"), "qn", "left").join(cyclic.hint("merge"), "qn", "left")
     return out.select("qn", F.substring_index("name", "_", 2).alias("tags"), F.coalesce("verified", F.lit("")).alias("verified"), F.coalesce("inferred", F.lit("")).alias("inferred"), F.coalesce("c", F.lit(False)).alias("cyclic"))
 
 
