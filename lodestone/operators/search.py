@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import coreness_boost, rank_multiplier
 
@@ -61,11 +66,16 @@ def symbol_search(symbols: DataFrame, name: str, limit: int = 20) -> DataFrame:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, size: int = 2) -> DataFrame:
     """(query_id, vec_id, distance, place): the ``k`` vectors with the smallest one minus dot product, ties by id; others dimensions are passed over.
 
-    The stated queries are a bounded block, sent to all tasks; each task keeps the best ``k`` of its own vectors for each query before anything moves.
+    All pairs are compared: the stated queries are a block that every task gets, and a task multiplies it with blocks of its own vectors, keeping of each block the best
+    ``k`` for each query. Vectors that are empty or hold something else than finite numbers go by Spark's own expressions.
     """
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e100)
+    plain = F.coalesce((F.size("embedding") > 0) & F.forall("embedding", finite), F.lit(False))
+    pairs = lambda q, v: v.join(F.broadcast(q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))), F.size("embedding") == F.size("q")).select("query_id", "vec_id", (1 - dot).alias("d"))
     dot = F.aggregate(F.zip_with("q", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    met = vectors.join(F.broadcast(q), F.size("embedding") == F.size("q")).select("query_id", "vec_id", F.round(1 - dot, 9).alias("distance"))
+    asked, numbers = queries.select("vec_id", "embedding"), vectors.select("vec_id", "embedding")
+    met = _best_of_blocks(asked.where(plain & F.col("vec_id").isNotNull()), numbers.where(plain), k).unionByName(pairs(asked, numbers.where(~plain | F.col("vec_id").isNull()))).unionByName(pairs(asked.where(~plain | F.col("vec_id").isNull()), numbers.where(plain & F.col("vec_id").isNotNull())))
+    met = met.select("query_id", "vec_id", F.round("d", 9).alias("distance"))
     # the best k of each slice of a query first, so that no query's rows all meet in one task
     best = F.row_number().over(Window.partitionBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(32))).orderBy("distance", "vec_id"))
     some = met.withColumn("place", best).where(F.col("place") <= k)
@@ -73,6 +83,63 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, size: int = 2) -> Da
     return some.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+#: Vectors and queries that are multiplied at once.
+BLOCK, ASKED = 8192, 512
+
+
+def _best_of_blocks(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, d): of each block of vectors at least those that may be among the best ``k`` of a query by distance rounded to nine decimals, then id."""
+    blocks: dict[int, tuple[list, list]] = {}
+    for r in queries.toLocalIterator():
+        ids, rows = blocks.setdefault(len(r["embedding"]), ([], []))
+        ids.append(r["vec_id"])
+        rows.append(np.array(r["embedding"], float))
+    sent = vectors.sparkSession.sparkContext.broadcast({n: (np.array(ids), np.stack(rows)) for n, (ids, rows) in blocks.items()})
+    schema = StructType([StructField("query_id", queries.schema["vec_id"].dataType), StructField("vec_id", vectors.schema["vec_id"].dataType), StructField("d", DoubleType())])
+
+    def first(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of equal vectors those with the ``k`` smallest ids."""
+        key = np.unique(rows.view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel(), return_inverse=True)[1].ravel()
+        order = np.lexsort((ids, key))
+        at = key[order]
+        keep = order[np.arange(len(at)) - np.searchsorted(at, at) < k]
+        return ids[keep], rows[keep]
+
+    def best(ids: np.ndarray, rows: np.ndarray) -> Iterator[pd.DataFrame]:
+        names, asked = sent.value[rows.shape[1]]
+        ids, rows = first(ids, rows)
+        longest = np.sqrt((rows * rows).sum(1)).max()
+        for lo in range(0, len(asked), ASKED):
+            q = asked[lo : lo + ASKED]
+            d = 1 - q @ rows.T
+            if len(ids) > k:
+                # a product differs from the sum in order by rounding alone; what it may decide, or rounding to nine decimals, is kept
+                slack = 3e-9 + 1e-12 * np.sqrt((q * q).sum(1)) * longest
+                i, j = np.nonzero(d <= (np.partition(d, k - 1, axis=1)[:, k - 1] + slack)[:, None])
+            else:
+                i, j = np.nonzero(np.ones(d.shape, bool))
+            total = np.zeros(len(i))
+            for c in range(rows.shape[1]):
+                total += q[i, c] * rows[j, c]
+            yield pd.DataFrame({"query_id": names[lo + i], "vec_id": ids[j], "d": 1 - total})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list] = {}
+        for f in frames:
+            for i, x in zip(f["vec_id"], f["embedding"]):
+                if len(x) in sent.value:
+                    rows = held.setdefault(len(x), [])
+                    rows.append((i, x))
+                    if len(rows) == BLOCK:
+                        yield from best(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float))
+                        rows.clear()
+        for rows in held.values():
+            if rows:
+                yield from best(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float))
+
+    return vectors.where(F.col("vec_id").isNotNull()).mapInPandas(run, schema)
+
+
 def fuse(legs: list[tuple[DataFrame, float]], key: str = "key", k: int = FUSION_K, limit: int | None = None) -> DataFrame:
     """Rank fusion: the sum of weight / (k + rank) over the legs (key, rank from 1); ties by key."""
     rows = None

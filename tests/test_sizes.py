@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from lodestone.operators import edits, lineage, locate, resolve, risk, text
+from lodestone.operators import edits, lineage, locate, resolve, risk, search, text
 from lodestone.sources import code
 from lodestone.streaming import incremental
 
@@ -160,3 +160,28 @@ def test_hunks_that_start_alike_are_covered_one_by_one(spark):
     hunks = spark.createDataFrame([(1, "p", 10, 11), (1, "p", 10, 20), (2, "p", 10, 20), (3, None, 1, 2)], HUNK)
     got = risk.uncovered_hunks(hunks, spark.createDataFrame([("p", 15)], "path string, line int")).collect()
     assert {r["change_id"]: r["uncovered"] for r in got} == {1: True, 2: False, 3: True}
+
+
+def test_nearest_multiplies_blocks(spark):
+    """Ties of equal vectors and of distances that rounding makes equal go by id; nulls, other dimensions and odd numbers are treated as by the plain expression."""
+    r = random.Random(3)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(3)]) for i in range(120)] + [(i, [1.0, 0.0, 0.0]) for i in range(400, 199, -1)] + [(500 + i, [1.0 - 1e-12 * i, 0.0, 0.0]) for i in range(9)]
+    rows += [(600, [1.0, 2.0]), (601, None), (602, []), (603, [float("inf"), 0.0, 0.0]), (604, [1.0, None, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = [3, 7, 300, 504, 600, 601, 602]
+    df = search.nearest(v.where(f"vec_id in ({', '.join(map(str, asked))})"), v, 15)
+    got = {}
+    rows_, out, _ = work(df)
+    for g in sorted(rows_, key=lambda g: (g["query_id"], g["place"])):
+        got.setdefault(g["query_id"], []).append((g["distance"], g["vec_id"]))
+    by = dict(rows)
+    for q in asked:
+        want = []
+        for i, x in rows:
+            if x is None or by[q] is None or len(x) != len(by[q]):
+                continue
+            d = None if None in x else 1 - sum((a * b for a, b in zip(by[q], x)), 0.0)
+            want.append((d if d is None or abs(d) == float("inf") else round(d, 9), i))
+        want.sort(key=lambda w: (w[0] is not None, w[0] if w[0] is not None else 0, w[1]))
+        assert got.get(q, []) == want[:15]
+    assert out <= 100
