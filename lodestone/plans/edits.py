@@ -24,7 +24,7 @@ def docs(spark, sf):
 def r04_signature_texts(spark, sf):
     s = rel(spark, sf, "symbols")
     li = rel(spark, sf, "lineitem").select(F.concat(F.lit("P"), "l_partkey").alias("qn"), F.col("l_orderkey").alias("change_id"), F.when(F.col("l_returnflag") == "R", "-").otherwise("+").alias("sign"), "l_linenumber")
-    diff = li.join(s, "qn").select("change_id", "path", "sign", F.col("line_start").alias("line"), F.concat("signature", "l_linenumber").alias("text"))
+    diff = li.join(s.hint("merge"), "qn").select("change_id", "path", "sign", F.col("line_start").alias("line"), F.concat("signature", "l_linenumber").alias("text"))
     return E.signature_texts(diff, s)
 
 
