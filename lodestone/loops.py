@@ -1,4 +1,4 @@
-"""Cutting lineage in driver loops."""
+"""Cutting lineage in driver loops, and dealing rows over tasks."""
 
 from __future__ import annotations
 
@@ -21,3 +21,16 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` checkpointed to the shared folder."""
     shared(df.sparkSession)
     return df.checkpoint()
+
+
+#: Tasks that ``dealt`` deals rows over, if the session has fewer shuffle partitions.
+TASKS = 200
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` shuffled by ``keys`` over a stated number of tasks.
+
+    Adaptive execution merges shuffled partitions up to 64 MB as compressed. Keys, digests and repeated texts compress so well that this is more than 1 GB of a
+    task's sorts and maps; a stated number of partitions isn't merged.
+    """
+    return df.repartition(max(TASKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)

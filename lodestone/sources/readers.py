@@ -8,6 +8,8 @@ import tomllib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..loops import dealt
+
 #: Folders that a walk leaves out (a parameter).
 IGNORED = (".git", "node_modules", "target", "dist", "build", "__pycache__", ".venv")
 #: Defaults of the thresholds.
@@ -26,8 +28,9 @@ def walk(spark: SparkSession, root: str, ignored: tuple[str, ...] = IGNORED) ->
 
 def upserted(index: DataFrame, changes: DataFrame) -> DataFrame:
     """The index with each changed path's last row (by seq, then hash) in place of its own. Both have path, hash; changes have seq too."""
-    last = changes.groupBy("path").agg(F.max_by("hash", F.struct("seq", "hash")).alias("hash"))
-    return index.select("path", "hash").join(last, "path", "left_anti").unionByName(last)
+    # dealt before anything is sorted: neither a reader's task nor a merged partition sorts all its rows
+    last = dealt(changes, "path").groupBy("path").agg(F.max_by("hash", F.struct("seq", "hash")).alias("hash"))
+    return dealt(index.select("path", "hash"), "path").join(last.hint("merge"), "path", "left_anti").unionByName(last)
 
 
 def numbits(rows: DataFrame, blob: str = "numbits") -> DataFrame:

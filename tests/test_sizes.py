@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestone import plans, registry
 from lodestone.functions import safety
 from lodestone.operators import edits, lineage, locate, resolve, risk, search, text
-from lodestone.sources import code
+from lodestone.sources import code, readers
 from lodestone.streaming import incremental
 
 plans.load()
@@ -207,3 +207,13 @@ def test_needed_words_lose_no_injection(spark):
 def test_scan_computes_what_is_asked(spark):
     plan = registry.QUERIES["x05_scan_text"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "PRIVATE KEY" not in plan
+
+
+def test_file_index_is_dealt_before_it_is_sorted(spark):
+    """Index rows that stand twice or have no path stay; of a path's changes the last counts, and readers sort none of them."""
+    index = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (3, None), (None, "n")], "path long, hash string")
+    changes = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (1, "z", 2), (9, "new", None), (None, "m", 1)], "path long, hash string, seq int")
+    df = readers.upserted(index, changes)
+    assert sorted(map(tuple, df.collect()), key=str) == sorted([(1, "z"), (2, "b"), (2, "b"), (3, None), (None, "n"), (9, "new"), (None, "m")], key=str)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "coalesced" not in plan and "Broadcast" not in plan
