@@ -217,3 +217,15 @@ def test_file_index_is_dealt_before_it_is_sorted(spark):
     assert sorted(map(tuple, df.collect()), key=str) == sorted([(1, "z"), (2, "b"), (2, "b"), (3, None), (None, "n"), (9, "new"), (None, "m")], key=str)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "coalesced" not in plan and "Broadcast" not in plan
+
+
+def test_ruled_out_multiplies_no_site(spark):
+    """A site of many edges and proofs; edges without a target, sites without an id, and proofs without a target or a site of their own."""
+    n = 200
+    edges = [("s", f"t{k}") for k in range(n)] * 2 + [("s", None), ("u", "a"), ("v", "a"), (None, "a"), ("w", "a")]
+    proofs = [("s", f"t{k + 1}") for k in range(n)] + [("u", "b"), ("v", None), (None, "b"), ("x", "a"), ("w", "a"), ("w", None)]
+    df = resolve.ruled_out(spark.createDataFrame(edges, "site_id string, dst string"), spark.createDataFrame(proofs, "site_id string, target string"))
+    rows, out, _ = work(df)
+    want = {("s", f"t{k}"): k == 0 for k in range(n)} | {("s", None): False, ("u", "a"): True, ("v", "a"): False, (None, "a"): False, ("w", "a"): False}
+    assert {(r["site_id"], r["dst"]): r["ruled_out"] for r in rows} == want and len(rows) == len(want) and out <= 1000
+    assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
