@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_test_path
+from ..loops import dealt
 
 NAME = "([A-Za-z_][A-Za-z0-9_]*)"
 #: Patterns of a line that begins a symbol: the first that matches tells kind and name.
@@ -90,10 +91,12 @@ def module_targets(found: DataFrame, known: DataFrame) -> DataFrame:
     options = F.array().cast("array<string>")
     for language, ends in suffix.items():
         options = F.when(F.col("language") == language, F.array(*[F.concat(F.lit("src/"), base, F.lit(e)) for base in (plain, above) for e in ends])).otherwise(options)
-    each = found.select("*", F.posexplode_outer(options).alias("priority", "option"))
-    met = each.join(known.select(F.col("path").alias("option"), F.lit(True).alias("is_known")).distinct(), "option", "left")
-    first = F.min(F.when(F.col("is_known"), F.struct("priority", "option")))
-    return met.groupBy(*found.columns).agg(first.alias("first")).select(*found.columns, F.col("first.option").alias("target"))
+    # each different module is looked up once; imports meet its answer unsorted, and a row that stands twice is told by its path last
+    each = found.select("language", "module").distinct().select("language", "module", F.posexplode(options).alias("priority", "option"))
+    met = each.join(dealt(known.select(F.col("path").alias("option")), "option").hint("merge"), "option", "left_semi")
+    first = met.groupBy("language", "module").agg(F.min("priority").alias("priority"))
+    out = dealt(found.join(first.hint("shuffle_hash"), ["language", "module"], "left"), "path").groupBy(*found.columns).agg(F.min("priority").alias("priority"))
+    return out.select(*found.columns, F.get(options, F.col("priority")).alias("target"))
 
 
 def is_test(language: Column, name: Column, path: Column) -> Column:

@@ -229,3 +229,14 @@ def test_ruled_out_multiplies_no_site(spark):
     want = {("s", f"t{k}"): k == 0 for k in range(n)} | {("s", None): False, ("u", "a"): True, ("v", "a"): False, (None, "a"): False, ("w", "a"): False}
     assert {(r["site_id"], r["dst"]): r["ruled_out"] for r in rows} == want and len(rows) == len(want) and out <= 1000
     assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_module_targets_look_each_module_up_once(spark):
+    n = 300
+    found = [(f"f{k}", "python", 1, "a.b") for k in range(n)] + [("f0", "python", 1, "a.b"), ("g", "rust", 2, "x::y"), ("g", "rust", 3, "no"), ("h", "cobol", 1, "a.b"), ("h", None, 1, "a.b"), ("i", "typescript", 4, "./z")]
+    known = [("src/a.py",), ("src/a/b/__init__.py",), ("src/x.rs",), ("src/z/index.ts",), ("src/z/index.ts",), (None,)]
+    df = code.module_targets(spark.createDataFrame(found, "path string, language string, line int, module string"), spark.createDataFrame(known, "path string"))
+    rows, out, _ = work(df)
+    want = {(f"f{k}", 1, "python"): "src/a/b/__init__.py" for k in range(n)} | {("g", 2, "rust"): "src/x.rs", ("g", 3, "rust"): None, ("h", 1, "cobol"): None, ("h", 1, None): None, ("i", 4, "typescript"): "src/z/index.ts"}
+    assert {(r["path"], r["line"], r["language"]): r["target"] for r in rows} == want and len(rows) == len(want)
+    assert out <= 2 * n and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
