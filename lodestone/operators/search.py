@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,41 +12,48 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import coreness_boost, rank_multiplier
+from ..loops import cut
 
 K1, B = 1.2, 0.75
 #: Weights of the legs, the constant of rank fusion, the exact name's bonus and floor.
 NAME_WEIGHT, TOKEN_WEIGHT, FUSION_K, EXACT_BONUS, EXACT_FLOOR = 1.5, 1.0, 20, 4.0, 1.0
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1)
+def phrase_counts(docs: DataFrame, phrases: list[str], key: str = "key", text: str = "text") -> DataFrame:
+    """(key, dl, tf): each row's number of tokens (lower-cased runs of letters and digits), and how often it holds each phrase: adjacent tokens, wherever they start.
 
-
-def phrase_bm25(docs: DataFrame, phrase: str, key: str = "key", text: str = "text") -> DataFrame:
-    """(key, tf, score) of the rows that hold the phrase: adjacent tokens, counted as one term.
-
-    One pass counts the phrase in each row, and lengths; rows and mean length come from one aggregate of that pass.
+    Texts are read once: what is counted of them is cut.
     """
-    words = phrase.lower().split()
+    letter = r"[\p{L}\p{N}]"
+
+    def pattern(phrase: str) -> str | None:
+        words = phrase.lower().split()
+        if not words or any(unicodedata.category(c)[0] not in "LN" for w in words for c in w):
+            return None  # no token is like that
+        # the first word is taken and the rest looked at, so that phrases may overlap
+        rest = "".join(rf"[^\p{{L}}\p{{N}}]+{w}" for w in words[1:])
+        return rf"(?<!{letter}){words[0]}(?={rest}(?!{letter}))"
 
-    def counted(toks: Column) -> Column:
-        def starts(i: Column) -> Column:
-            return F.forall(F.array(*[F.get(toks, i + k) == w for k, w in enumerate(words)]), lambda x: x)
+    patterns = [pattern(p) for p in phrases]
+    # the lower-cased text is bound as a lambda's variable, so that it is made once for each row
+    counted = F.transform(F.array(F.lower(F.coalesce(F.col(text), F.lit("")))), lambda t: F.struct(F.regexp_count(t, F.lit(letter + "+")).alias("dl"), F.array(*[F.lit(0) if p is None else F.regexp_count(t, F.lit(p)) for p in patterns]).alias("tf")))[0]
+    return cut(docs.select(key, counted.alias("c")).select(key, "c.dl", "c.tf"))
 
-        last = F.size(toks) - len(words)
-        tf = F.when(last >= 0, F.size(F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), starts))).otherwise(0)
-        return F.struct(F.size(toks).alias("dl"), tf.alias("tf"))
 
-    # the tokens are bound as a lambda's variable, so that they are made once for each row
-    bound = F.transform(F.array(tokens(F.col(text))), counted)[0]
-    rows = docs.select(key, bound.alias("c")).select(key, "c.dl", "c.tf")
+def bm25(counts: DataFrame, which: int = 0, key: str = "key") -> DataFrame:
+    """(key, tf, score) of the rows that hold one of the phrases counted. Rows and mean length come from one aggregate of the counts."""
+    rows = counts.select(key, "dl", F.col("tf")[which].alias("tf"))
     stats = rows.agg(F.count("*").alias("n"), F.count_if(F.col("tf") > 0).alias("df"), F.avg("dl").alias("avgdl"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return rows.where(F.col("tf") > 0).join(F.broadcast(stats)).select(key, "tf", F.round(score, 6).alias("score"))
 
 
+def phrase_bm25(docs: DataFrame, phrase: str, key: str = "key", text: str = "text") -> DataFrame:
+    """(key, tf, score) of the rows that hold the phrase: adjacent tokens, counted as one term."""
+    return bm25(phrase_counts(docs, [phrase], key, text), 0, key)
+
+
 def symbol_search(symbols: DataFrame, name: str, limit: int = 20) -> DataFrame:
     """Two BM25 legs (signature; name tokens), each cut to twice the limit, an exact-name leg with a floor, and the rank factors."""
     cut = 2 * limit
@@ -151,8 +159,12 @@ def fuse(legs: list[tuple[DataFrame, float]], key: str = "key", k: int = FUSION_
 
 
 def ranked(scored: DataFrame, key: str = "key") -> DataFrame:
-    """A leg's rows with their rank; a leg is a result list, cut before."""
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
+    """A leg's rows with their rank; a leg is a result list, whole or cut before. Ranges of it are ranked each in a task, behind the number of rows in the ranges before."""
+    order = [F.desc("score"), F.col(key)]
+    parts = cut(scored.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    before = parts.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(*order)) + F.col("before")
+    return parts.join(F.broadcast(before), "part").withColumn("rank", rank).drop("part", "before")
 
 
 def personalized(results: DataFrame, boosts: DataFrame, weight: float = 0.15) -> DataFrame:

@@ -86,8 +86,8 @@ def s12_similar(spark, sf):
     WITH x AS (SELECT key, row_number() OVER (ORDER BY score DESC, key) AS rank FROM {bm25_sql('documents', 'doc_id', 'text', ['the', 'of'])}), y AS (SELECT key, row_number() OVER (ORDER BY score DESC, key) AS rank FROM {bm25_sql('documents', 'doc_id', 'text', ['of', 'the'])})
     SELECT key, round(sum(s), 9) AS score FROM (SELECT key, 1.5 / (20 + rank) AS s FROM x UNION ALL SELECT key, 1.0 / (20 + rank) FROM y) GROUP BY key""")
 def s14_rank_fusion(spark, sf):
-    d = docs(spark, sf)
-    return S.fuse([(S.ranked(S.phrase_bm25(d, "the of")), 1.5), (S.ranked(S.phrase_bm25(d, "of the")), 1.0)])
+    counts = S.phrase_counts(docs(spark, sf), ["the of", "of the"])
+    return S.fuse([(S.ranked(S.bm25(counts, 0)), 1.5), (S.ranked(S.bm25(counts, 1)), 1.0)])
 
 
 @query("s11_hybrid_search", f"""

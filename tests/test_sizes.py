@@ -240,3 +240,33 @@ def test_module_targets_look_each_module_up_once(spark):
     want = {(f"f{k}", 1, "python"): "src/a/b/__init__.py" for k in range(n)} | {("g", 2, "rust"): "src/x.rs", ("g", 3, "rust"): None, ("h", 1, "cobol"): None, ("h", 1, None): None, ("i", 4, "typescript"): "src/z/index.ts"}
     assert {(r["path"], r["line"], r["language"]): r["target"] for r in rows} == want and len(rows) == len(want)
     assert out <= 2 * n and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_phrase_counts_read_a_text_once(spark):
+    """Phrases overlap, stand between any other characters and in any case, not inside of words; what is no token is in no text."""
+    texts = ["a a a", "A,\nA b", "aa a", "a-a_a é", None, "", "a1 a", "É A a"]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(t):
+        read.add(1)
+        return t
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "key long, text string").withColumn("text", F.udf(seen, "string")("text"))
+    scored = search.phrase_bm25(docs, "A a").collect()
+    assert {r["key"]: r["tf"] for r in scored} == {0: 2, 1: 1, 3: 2, 7: 1} and read.value == len(texts)
+    counts = {r["key"]: (r["dl"], r["tf"]) for r in search.phrase_counts(docs, ["a", "é a", "a,", "", "a b"]).collect()}
+    assert counts == {0: (3, [3, 0, 0, 0, 0]), 1: (3, [2, 0, 0, 0, 1]), 2: (2, [1, 0, 0, 0, 0]), 3: (4, [3, 0, 0, 0, 0]), 4: (0, [0] * 5), 5: (0, [0] * 5), 6: (2, [1, 0, 0, 0, 0]), 7: (3, [2, 1, 0, 0, 0])}
+
+
+def test_ranks_are_counted_over_ranges(spark):
+    """No task numbers all rows: ranges are numbered apart, and ties go by key across them."""
+    r = random.Random(5)
+    rows = [(k, r.choice([None, 0.0, 1.0, 2.5, -3.0, 9.0])) for k in range(500)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = search.ranked(spark.createDataFrame(rows, "key long, score double"))
+        got = {g["key"]: g["rank"] for g in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {k: i + 1 for i, (k, _) in enumerate(sorted(rows, key=lambda x: (x[1] is None, -(x[1] or 0), x[0])))}
+    assert df.columns == ["key", "score", "rank"] and "row_number() windowspecdefinition(part" in df._jdf.queryExecution().analyzed().toString()
